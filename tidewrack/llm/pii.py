@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import weak
 from .common import column, cut, free_name
 
 KINDS = ("email", "ip", "card", "phone")
@@ -51,7 +52,6 @@ CUES = {
 AGAINST = r"version|\bv\s*$|release|isbn|issn|order|invoice|rechnung|serial|build|section|=\s*$|#\s*$|\$\s*$"
 LABELERS = ("rule", "value", "gazetteer", "cue", "against", "shape")
 CONTEXT = 32
-ROUNDS = 50
 
 
 def _digits(x: Column) -> Column:
@@ -167,27 +167,12 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int]]) -> Model:
     """EM over (kind, votes, count), then the classifier on its posteriors. With no
     candidates at all, the weights start from the votes alone."""
     n = len(LABELERS)
-    like = {c: [[0.15, 0.25, 0.6] if c else [0.6, 0.25, 0.15] for _ in range(n)] for c in (0, 1)}
-    prior, post = 0.5, {}
-    for _ in range(ROUNDS):
-        post = {}
-        for kind, votes, _count in patterns:
-            one, zero = math.log(prior), math.log(1 - prior)
-            for i, v in enumerate(votes):
-                one, zero = one + math.log(like[1][i][v + 1]), zero + math.log(like[0][i][v + 1])
-            post[kind, votes] = 1 / (1 + math.exp(min(50, max(-50, zero - one))))
-        total = sum(c for *_, c in patterns)
-        if not total:
-            break
-        prior = min(0.999, max(0.001, sum(post[k, v] * c for k, v, c in patterns) / total))
-        for cls in (0, 1):
-            for i in range(n):
-                mass = [1.0 if (x == 2) == bool(cls) else 0.5 for x in range(3)]  # a labeler is right more often than wrong until the data say else
-                for k, v, c in patterns:
-                    mass[v[i] + 1] += c * (post[k, v] if cls else 1 - post[k, v])
-                like[cls][i] = [m / sum(mass) for m in mass]
+    merged: dict[tuple[int, ...], int] = {}
+    for _, votes, c in patterns:
+        merged[votes] = merged.get(votes, 0) + c
+    prior, like, post = weak.estimate(sorted(merged.items()), [weak.EITHER_WAY] * n)
     w = [0.0] * (1 + len(KINDS) + 2 * n)
-    rows = [(_features(k, v), post.get((k, v), 0.5), c) for k, v, c in patterns]
+    rows = [(_features(k, v), post[v], c) for k, v, c in patterns]
     total = sum(c for *_, c in rows) or 1
     for _ in range(400):
         grad = [0.001 * x for x in w]

@@ -41,9 +41,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, lower: bool = True, marks: np.ndarray | None = None) -> Iterator[tuple]:
     """(first row, offsets, hashes): the word hashes of a few rows at a time, row after
-    row; offsets has one more entry than rows. ``lower`` maps A-Z to a-z. Null: no words."""
+    row; offsets has one more entry than rows. ``lower`` maps A-Z to a-z. Null: no words.
+    With ``marks``, a value per byte, also the bitwise or of every word's bytes' marks and
+    the words' lengths in bytes."""
     texts = texts.cast(pa.large_string())
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -54,20 +56,22 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.n
         stop = int(np.searchsorted(ends, ends[row] + CHUNK_BYTES, "right")) - 1
         stop = min(len(texts), max(row + 1, stop))
         a, b = int(ends[row]), int(ends[stop])
-        at, h = _hash(raw[a:b], ends[row:stop + 1] - a, lower)
+        at, *of = _hash(raw[a:b], ends[row:stop + 1] - a, lower, marks)
         if valid is not None and not valid[row:stop].all():  # a null's slot may hold bytes
             own = np.repeat(np.arange(stop - row), np.diff(at))
             keep = valid[row:stop][own]
-            h, own = h[keep], own[keep]
+            of, own = [x[keep] for x in of], own[keep]
             at = np.searchsorted(own, np.arange(stop - row + 1))
-        yield row, at, h
+        yield row, at, *of
         row = stop
 
 
-def _hash(b: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash(b: np.ndarray, ends: np.ndarray, lower: bool, marks: np.ndarray | None) -> tuple[np.ndarray, ...]:
     n = len(b)
     if not n:
-        return np.zeros(len(ends), np.int64), np.zeros(0, np.uint64)
+        none = [np.zeros(0, np.int64)] * (0 if marks is None else 2)
+        return np.zeros(len(ends), np.int64), np.zeros(0, np.uint64), *none
+    seen = b
     if lower:
         b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
     white = (b == 32) | ((b >= 9) & (b <= 13))
@@ -84,7 +88,11 @@ def _hash(b: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.
     run = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, out=run[1:])
     h = (run[stops] - run[starts]) * inverse[starts]
-    return np.searchsorted(starts, ends).astype(np.int64), mix64(h)
+    at = np.searchsorted(starts, ends).astype(np.int64)
+    if marks is None:
+        return at, mix64(h)
+    of = np.bitwise_or.reduceat(marks[seen], starts) if len(starts) else np.zeros(0, marks.dtype)  # white space has no marks
+    return at, mix64(h), of, stops - starts
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
