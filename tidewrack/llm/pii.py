@@ -101,7 +101,7 @@ def _votes(kind: str, base: bool, m: Column) -> Column:
     vote = lambda c, yes=1, no=-1: F.when(c, F.lit(yes)).otherwise(F.lit(no))
     plain = F.regexp_replace(F.regexp_replace(value, r" ?[\[(]at[\])] ?", "@"), r" ?[\[(]dot[\])] ?", ".")
     if kind == "email":
-        good = vote(F.rlike(plain, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")))
+        good = vote(F.rlike(plain, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}$")))
         listed = vote(F.lower(F.regexp_extract(plain, r"([A-Za-z]+)$", 1)).isin(*TLDS))
         shape = vote(F.length(value) > 80, -1, 0)
     elif kind == "ip":
