@@ -554,3 +554,103 @@ SELECT doc_id, label, rank FROM r""")
 def q_top_labelled(t):
     good = t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id").select("doc_id", "lang", "n_chars")
     return A.top_counts(good, ["lang"], 5, "n_chars", ("doc_id",)).select("doc_id", F.lit("quality").alias("label"), "rank")
+
+
+# more bindings: registers, queues, drafts, forms
+
+@query("""
+WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
+SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, count(*) - count(*) FILTER (WHERE o_orderstatus = 'P') AS already FROM o""")
+def q_review_queue(t):
+    from tidewrack.operators.visibility import review_queue
+    return review_queue(t.orders.withColumn("status", F.when(F.col("o_orderstatus") == "P", "proposed").otherwise("confirmed")))
+
+
+@query("""
+SELECT CASE WHEN user_id % 2 = 0 THEN 'told' ELSE 'about' END AS section, count(*) AS n FROM events WHERE user_id % 2 = 0 OR event_type = 'purchase' GROUP BY 1""")
+def q_sections(t):
+    from tidewrack.operators.visibility import told_and_mentioned
+    items = t.events.select(F.when(F.col("user_id") % 2 == 0, "me").otherwise("other").alias("told_by"), F.array(F.struct(F.when(F.col("event_type") == "purchase", "me").otherwise("x").alias("id"))).alias("people"))
+    return told_and_mentioned(items, "me").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'e') ORDER BY p_partkey LIMIT 8""")
+def q_autocomplete(t):
+    from tidewrack.operators.visibility import autocomplete
+    named = t.part.select("p_partkey", "p_name", F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("p_partkey").alias("pos"))
+    return autocomplete(named, "E").select("p_partkey", "p_name")
+
+
+@query("SELECT coalesce(min(o_orderkey) FILTER (WHERE o_orderkey > 500), min(o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+def q_next_open(t):
+    from tidewrack.operators.visibility import next_after
+    return next_after(t.orders.where("o_orderstatus = 'P'"), "o_orderkey", 500)
+
+
+@query("""
+SELECT conv_id, turn, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 5)::INT AS chunk, CASE WHEN length(text) >= 200 THEN 'print' ELSE 'handwriting' END AS route FROM conversations""")
+def q_chunks(t):
+    from tidewrack.plans.ingest import chunked, routes
+    pages = t.conversations.withColumn("n", F.length("text"))
+    return routes(chunked(pages, "conv_id", "turn"), "n").select("conv_id", "turn", "chunk", "route")
+
+
+@query("""
+SELECT c_custkey, upper(substr(c_name, 1, 1)) AS initials FROM customer""")
+def q_initials(t):
+    return t.customer.select("c_custkey", X.initials(F.col("c_name")).alias("initials"))
+
+
+@query("""
+SELECT c_custkey, CAST(list_sum(list_transform(string_split(CAST(c_custkey AS VARCHAR), ''), lambda x: ascii(x))) % 6 AS VARCHAR) AS hue FROM customer""")
+def q_hue(t):
+    return t.customer.select("c_custkey", X.hue(F.col("c_custkey").cast("string"), F.lit(None).cast("string")).alias("hue"))
+
+
+@query("""
+SELECT doc_id, coalesce(substr(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 1, 48), source) AS title FROM documents""")
+def q_doc_titles(t):
+    return t.documents.select("doc_id", X.doc_title(F.lit(None).cast("string"), F.col("text"), F.col("source")).alias("title"))
+
+
+@query("""
+WITH v AS (SELECT o_orderkey AS record_id, o_totalprice > 0 AS price, o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS priority, o_orderstatus <> 'P' AS status FROM orders)
+SELECT 'priority' AS rule, CAST(record_id AS VARCHAR) AS record_id FROM v WHERE NOT priority UNION ALL SELECT 'status', CAST(record_id AS VARCHAR) FROM v WHERE NOT status
+UNION ALL SELECT 'price', CAST(record_id AS VARCHAR) FROM v WHERE NOT price""")
+def q_violations(t):
+    from tidewrack.operators.rules import violations
+    return violations(t.orders, "o_orderkey", {"price": F.col("o_totalprice") > 0, "priority": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"),
+                                               "status": F.col("o_orderstatus") != "P"}).select("rule", "record_id")
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('purchase', 'error')) WHERE rn = 1""")
+def q_first_decision(t):
+    events = t.events.select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "reject").otherwise("propose").alias("decision"))
+    return M.changed_decisions(events, "user_id", "at").select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT p_partkey, [100.0 - p_size * 2, CAST(p_size AS DOUBLE), 100.0 - p_size, p_size * 3.0] AS box FROM part WHERE p_size < 50""")
+def q_rotated_boxes(t):
+    from tidewrack.operators.alignment import rotate_box
+    rows = t.part.where("p_size < 50").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_size").cast("double"), (F.col("p_size") * 3).cast("double"), (F.col("p_size") * 2).cast("double")).alias("b"))
+    return rows.select("p_partkey", rotate_box(F.col("b"), F.lit(200.0), F.lit(100.0), F.lit(1)).alias("box"))
+
+
+@query("""
+WITH j AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS response FROM conversations)
+SELECT conv_id * 100 + turn AS id, conv_id * 100 + response AS response FROM j WHERE response IS NOT NULL""")
+def q_responses(t):
+    items = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 100 + F.col("turn") - 1).alias("comment_on"))
+    return J.responses(items)
+
+
+@query("""
+SELECT user_id, min(ts) AS first, count(*) AS n FROM (
+  SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s""")
+def q_event_sessions(t):
+    from tidewrack.streaming.state import sessions
+    return sessions(t.events, "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("first"), "n")
