@@ -70,5 +70,43 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_OP1 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT conv_id, max(turn) AS upto FROM c WHERE role = 'assistant' GROUP BY 1),
+z AS (SELECT c.* FROM c JOIN l ON c.conv_id = l.conv_id AND turn = upto WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn, role, text FROM c LEFT JOIN l USING (conv_id) WHERE upto IS NULL OR turn < upto
+  UNION ALL SELECT a.conv_id, a.turn, b.role, b.text FROM z a JOIN z b ON b.conv_id = xor(a.conv_id, 1)),
+t AS (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r', * FROM r),
+i AS (SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn) AS i,
+  '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS part FROM t),
+m AS (SELECT coalesce(x.conv_id, y.conv_id) AS conv_id, coalesce(x.i, y.i) AS i, coalesce(x.part = y.part, false) AS same
+  FROM (SELECT * FROM i WHERE side = 'c') x FULL JOIN (SELECT * FROM i WHERE side = 'r') y ON x.conv_id = y.conv_id AND x.i = y.i),
+n AS (SELECT conv_id, coalesce(min(i) FILTER (WHERE NOT same) - 1, count(*)) AS n FROM m GROUP BY 1),
+s AS (SELECT i.*, n, sum(length(part)) OVER (PARTITION BY side, conv_id ORDER BY i) - length(part) + 12 + length(role) + 1 AS start FROM i JOIN n USING (conv_id) WHERE i > n),
+o AS (SELECT side, conv_id, string_agg(part, '' ORDER BY i) AS text, coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(s.text) + 10 AS BIGINT), ',' ORDER BY i)
+  FILTER (WHERE role = 'assistant'), '') AS spans FROM s GROUP BY 1, 2),
+p AS (SELECT conv_id, n, coalesce(string_agg(part, '' ORDER BY i) FILTER (WHERE i <= n), '') AS prompt FROM i JOIN n USING (conv_id) WHERE side = 'c' GROUP BY 1, 2)
+SELECT p.conv_id AS pair_id, n AS n_prompt_turns, prompt, coalesce(x.text, '') AS chosen, coalesce(x.spans, '') AS chosen_spans, coalesce(y.text, '') AS rejected, coalesce(y.spans, '') AS rejected_spans
+FROM p LEFT JOIN o x ON x.side = 'c' AND x.conv_id = p.conv_id LEFT JOIN o y ON y.side = 'r' AND y.conv_id = p.conv_id"""
+
+_OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY 1"""
+
+_OP6 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1), d AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN d ON d.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": _OP1, "op4_ngram_jaccard": _OP4, "op6_embedding_near_dedup": _OP6}
