@@ -36,7 +36,11 @@ TABLE_ROWS = 1 << 20
 SMALL_GROUP = 64
 #: Rounds in which large unsettled groups are linked to one more member each before all their open pairs are compared.
 PIVOT_ROUNDS = 3
+#: Documents of candidate pairs are picked from the corpus by broadcast up to this many ids, 16 MB; by shuffle beyond it.
+BROADCAST_IDS = 1_000_000
 _RANGES = 256
+#: Longs of the parity bitmap of a set: what differs between two bitmaps differs between the sets.
+_BITMAP = 16
 #: Sizes of linked sets differ by less than this factor, so they are in the same band or neighbours.
 _BAND = 1 / 0.84
 
@@ -46,25 +50,46 @@ def overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _key(s: np.ndarray) -> int:
+    return int(mix64(s).sum().view(np.int64))
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * _BITMAP), minlength=64 * _BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _set_rows(k: int):
+    """Size, key, second hash and bitmap of every document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), k))
-            sums = np.array([[int(np.bitwise_xor.reduce(s)), int(mix64(s).sum())] for s in sets], dtype=np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
-            ], ["id", "n", "k1", "k2"])
+            rows = [(len(s), _key(s), int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0, _bitmap(s)) for s in shingle_sets(batch.column(1), k)]
+            n, k1, k2, bits = zip(*rows) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                                              pa.array(list(bits), pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "bits"])
     return run
 
 
+def _new_sets(batches, column: int, k: int):
+    """(batch, row, set, key) of the sets that are the first of their kind in this task."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for i, s in enumerate(shingle_sets(batch.column(column), k)):
+            if len(s) and (key := _key(s)) not in seen:
+                seen.add(key)
+                fresh.append((i, s, key))
+        yield fresh
+
+
 def _folded(k: int):
-    """A row per range of 32-bit shingle folds with the sorted folds of a batch."""
+    """A row per range of 32-bit shingle folds and batch: the sorted folds as differences, one
+    byte plane after another, which the shuffle's compression halves."""
     def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(0), k))
-            f = np.sort((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)) if sets else np.zeros(0, np.uint32)
+        for fresh in _new_sets(batches, 0, k):
+            f = np.sort((np.concatenate([s for _, s, _ in fresh]) >> np.uint64(32)).astype(np.uint32)) if fresh else np.zeros(0, np.uint32)
             ends = np.searchsorted(f, np.arange(1, _RANGES, dtype=np.uint64) << np.uint64(24))
-            parts = [(i, p.astype("<u4").tobytes()) for i, p in enumerate(np.split(f, ends)) if len(p)]
+            parts = [(i, np.diff(p, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for i, p in enumerate(np.split(f, ends)) if len(p)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["range", "folds"])
     return run
 
@@ -83,7 +108,8 @@ def _counted(least: int):
                     yield out()
                     held = []
                 current = r
-                held.append(np.frombuffer(blob, "<u4"))
+                planes = np.frombuffer(blob, np.uint8).reshape(4, -1).T
+                held.append(np.cumsum(np.ascontiguousarray(planes).view("<u4").ravel(), dtype=np.uint32))
         if held:
             yield out()
     return run
@@ -126,7 +152,7 @@ def signatures(s: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tupl
         if new:
             i, j = np.array(new).T
             both = scramble[i] + scramble[j]  # the order of the two does not matter
-            sig.append(mix64(both + np.uint64(2 * (band + 1000) + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            sig.append(mix64(both + np.uint64((2 * band + 2001) * 0x9E3779B97F4A7C15 % 2**64)))
             rank.append(np.array(at))
     return np.concatenate(sig), np.concatenate(rank)
 
@@ -134,10 +160,10 @@ def signatures(s: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tupl
 def _signature_rows(k: int, percent: int, table):
     def run(batches):
         fold, times = table.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        for fresh in _new_sets(batches, 0, k):
             sig, rank, rep, size = [], [], [], []
-            for i, s in zip(ids, shingle_sets(batch.column(1), k)):
+            for _, s, key in fresh:
                 if len(s) <= percent // (100 - percent):  # links with nothing but its equal
                     continue
                 f = (s >> np.uint64(32)).astype(np.uint32)
@@ -146,9 +172,8 @@ def _signature_rows(k: int, percent: int, table):
                 g, r = signatures(s, count, percent)
                 sig.append(g)
                 rank.append(r)
-                rep.append(np.full(len(g), i, np.int64))
+                rep.append(np.full(len(g), key, np.int64))
                 size.append(np.full(len(g), len(s), np.int32))
-            cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
             yield pa.RecordBatch.from_arrays([
                 pa.array(cat(sig, np.uint64).view(np.int64)), pa.array(cat(rep, np.int64)), pa.array(cat(size, np.int32)), pa.array(cat(rank, np.int32))],
                 ["sig", "rep", "n", "rank"])
@@ -156,8 +181,8 @@ def _signature_rows(k: int, percent: int, table):
 
 
 def _grouped(percent: int):
-    """Pairs and members of large groups from rows sorted by (sig, rank, rep). Holds at most
-    SMALL_GROUP rows of a group across batches."""
+    """Pairs and members of large groups from rows sorted by (sig, rank, rep), in which equal
+    rows are one. Holds at most SMALL_GROUP rows of a group across batches."""
     def fits(na, ra, nb, rb):
         o = overlap(na, nb, percent)
         return (ra <= na - o) & (rb <= nb - o)
@@ -178,6 +203,7 @@ def _grouped(percent: int):
     def run(batches):
         held = [np.zeros(0, np.int64)] * 4
         big, centre, done = None, None, 0  # a large group under way
+        last_row = None
 
         def star(part):
             nonlocal done
@@ -187,6 +213,13 @@ def _grouped(percent: int):
             return pairs(tuple(np.full(m, v) for v in centre), part), rows(1, part[0], part[1], at, part[2], part[3])
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            if not len(new[0]):
+                continue
+            once = np.ones(len(new[0]), bool)
+            once[1:] = (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])
+            once[0] = last_row != (new[0][0], new[1][0])
+            last_row = (new[0][-1], new[1][-1])
+            new = [c[once] for c in new]
             found = []
             if big is not None:
                 m = int(np.searchsorted(new[0], big, "right"))
@@ -230,17 +263,26 @@ def _grouped(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def _verified(pairs: DataFrame, classes: DataFrame, plain: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of set keys those that link, as ids (u, v). Bitmaps, which never
+    part a pair that links, come before the sets themselves."""
+    def side(key: str):
+        return classes.select(F.col("k1").alias(key), F.col("rep").alias(f"{key}_rep"), F.col("n").alias(f"{key}_n"), F.col("bits").alias(f"{key}_bits"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("a_rep <> b_rep")
+    least = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
+    apart = sum((F.bit_count(F.get("a_bits", i).bitwiseXOR(F.get("b_bits", i))) for i in range(_BITMAP)), F.lit(0))
+    left = cut(both.where(apart <= F.col("a_n") + F.col("b_n") - 2 * least).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+    nodes = cut(left.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
 
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1), k)], pa.list_(pa.int64()))], ["rep", "s"])
-    own = cut(texts.join(nodes, "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, s array<long>"))
-    both = pairs.join(own.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    own = cut(plain.join(nodes, "rep", "left_semi").mapInArrow(sets, "rep long, s array<long>"))
+    full = left.join(own.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where((F.lit(100) + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return full.where((F.lit(100) + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,25 +295,27 @@ def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     """
     spark = docs.sparkSession
     plain = docs.select(column(docs, id_col).cast("long").alias("rep"), column(docs, text_col).alias("text"))
-    rows = cut(plain.mapInArrow(_set_rows(k), "id long, n long, k1 long, k2 long"))
-    classes = cut(rows.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")))
-    texts = plain.join(classes.select("rep").distinct(), "rep", "left_semi")
+    rows = cut(plain.mapInArrow(_set_rows(k), "id long, n long, k1 long, k2 long, bits array<long>"))
+    classes = cut(rows.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "bits")).alias("x")).select(
+        "n", "k1", "k2", F.col("x.id").alias("rep"), "x.bits"))
+    texts = plain.where("rep is not null").select("text")
     # counts of shingles over all sets
-    spread = plain.select("text").mapInArrow(_folded(k), "range int, folds binary").repartitionById(_RANGES, F.col("range"))
+    spread = texts.mapInArrow(_folded(k), "range int, folds binary").repartitionById(_RANGES, F.col("range"))
     counts = spread.mapInArrow(_counted(FREQUENT), "fold long, n long").orderBy(F.desc("n"), "fold").limit(TABLE_ROWS).toPandas().sort_values("fold")
     table = spark.sparkContext.broadcast((counts["fold"].to_numpy(np.uint32), counts["n"].to_numpy(np.int64)))
     sigs = texts.mapInArrow(_signature_rows(k, percent, table), "sig long, rep long, n int, rank int")
     sigs = sigs.repartition("sig").sortWithinPartitions("sig", "rank", "rep")
     found = cut(sigs.mapInArrow(_grouped(percent), "kind int, a long, b long, at int, n int, rank int"))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    edges = cut(_verified(pairs, texts, k, percent))
+    edges = cut(_verified(pairs, classes, plain, k, percent))
     labels = components(edges)
-    members = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("rep"), "at", "n", "rank")
+    members = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("k1"), "at", "n", "rank")
     if members.head(1):
         tried, turn = pairs, 0
         while True:
             turn += 1
-            known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            place = classes.select("k1", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", F.coalesce("component", "rep").alias("component"))
+            known = members.join(place, "k1")
             split = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
             open_ = cut(known.join(split.select("sig"), "sig", "left_semi"))
             x, y = open_.alias("x"), open_.alias("y")
@@ -279,10 +323,10 @@ def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
             may = (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") <= F.col("x.n") - o) & (F.col("y.rank") <= F.col("y.n") - o)
             one = (F.col("x.at") == turn) if turn <= PIVOT_ROUNDS else (F.col("x.at") > turn - 1)
             more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & one & (F.col("y.at") > F.col("x.at")) & may).select(
-                F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+                F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
             more = cut(more.join(tried, ["a", "b"], "left_anti"))
             if more.head(1):
-                edges = cut(edges.unionByName(_verified(more, texts, k, percent)))
+                edges = cut(edges.unionByName(_verified(more, classes, plain, k, percent)))
                 labels = components(edges)
                 tried = tried.unionByName(more)
             if turn > PIVOT_ROUNDS or not open_.head(1):
