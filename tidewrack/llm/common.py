@@ -78,6 +78,10 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Rows of an edge table that one task handles, so that a small table is not spread over all shuffle partitions.
+EDGES_PER_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label the nodes of ``edges`` (u long, v long) with the smallest node reachable.
 
@@ -87,23 +91,19 @@ def components(edges: DataFrame) -> DataFrame:
     is a table in the shared folder. No edge goes to the driver: it sees a count and a
     checksum per round.
     """
-    spark = edges.sparkSession
-
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = mark(now)
-    if not before[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while before[0]:
+        tasks = -(-before[0] // EDGES_PER_TASK)
+        both = now.coalesce(tasks).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        new = cut(small.coalesce(tasks).distinct(), tasks)
         after = mark(new)
         drop_table(now)
         drop_table(large)
@@ -111,6 +111,5 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        roots.select("node", F.col("node").alias("component")))
+    stars = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x"))
+    return stars.select("x.*").distinct()

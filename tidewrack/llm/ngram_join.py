@@ -36,6 +36,8 @@ TABLE_ROWS = 1 << 20
 SMALL_GROUP = 64
 #: Rounds in which large unsettled groups are linked to one more member each before all their open pairs are compared.
 PIVOT_ROUNDS = 3
+#: ... unless those pairs are no more than this many for each row in such a group.
+OPEN_PAIRS = 64
 #: Documents of candidate pairs are picked from the corpus by broadcast up to this many ids, 16 MB; by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 _RANGES = 256
@@ -71,7 +73,8 @@ def _set_rows(k: int):
 
 
 def _new_sets(batches, column: int, k: int):
-    """(batch, row, set, key) of the sets that are the first of their kind in this task."""
+    """For each batch the (row, set, key) of the sets that are the first of their kind in this
+    task. What it remembers is a number for each distinct set of the task's input."""
     seen: set[int] = set()
     for batch in batches:
         fresh = []
@@ -310,27 +313,33 @@ def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     edges = cut(_verified(pairs, classes, plain, k, percent))
     labels = components(edges)
     members = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("k1"), "at", "n", "rank")
-    if members.head(1):
-        tried, turn = pairs, 0
-        while True:
-            turn += 1
-            place = classes.select("k1", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", F.coalesce("component", "rep").alias("component"))
-            known = members.join(place, "k1")
-            split = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            open_ = cut(known.join(split.select("sig"), "sig", "left_semi"))
-            x, y = open_.alias("x"), open_.alias("y")
-            o = F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent})")
-            may = (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") <= F.col("x.n") - o) & (F.col("y.rank") <= F.col("y.n") - o)
-            one = (F.col("x.at") == turn) if turn <= PIVOT_ROUNDS else (F.col("x.at") > turn - 1)
-            more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & one & (F.col("y.at") > F.col("x.at")) & may).select(
-                F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
-            more = cut(more.join(tried, ["a", "b"], "left_anti"))
-            if more.head(1):
-                edges = cut(edges.unionByName(_verified(more, classes, plain, k, percent)))
-                labels = components(edges)
-                tried = tried.unionByName(more)
-            if turn > PIVOT_ROUNDS or not open_.head(1):
-                break
+    tried, turn = pairs, 0
+    while members.head(1):
+        turn += 1
+        place = classes.select("k1", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", F.coalesce("component", "rep").alias("component"))
+        known = cut(members.join(place, "k1"))
+        # what is open: groups of several components, and in them rows that a partner of the group's smallest size could reach
+        split = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+        near = known.join(split, "sig").where(F.col("rank") <= F.col("n") - F.ceil(percent * (F.col("n") + F.col("least")) / F.lit(100 + percent)))
+        open_ = cut(near.select(*known.columns))
+        mixed = open_.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))).alias("p"), F.sum("c").alias("m"))
+        bound, rows_open = mixed.agg(F.coalesce(F.sum("p") / 2, F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if not bound:
+            break
+        last = turn > PIVOT_ROUNDS or bound <= OPEN_PAIRS * rows_open
+        x, y = open_.alias("x"), open_.alias("y")
+        o = F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent})")
+        may = (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") <= F.col("x.n") - o) & (F.col("y.rank") <= F.col("y.n") - o)
+        one = F.lit(True) if last else F.col("x.at") == turn
+        more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & one & (F.col("y.at") > F.col("x.at")) & may).select(
+            F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
+        more = cut(more.join(tried, ["a", "b"], "left_anti"))
+        if more.head(1):
+            edges = cut(edges.unionByName(_verified(more, classes, plain, k, percent)))
+            labels = components(edges)
+            tried = tried.unionByName(more)
+        if last:
+            break
     place = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     full = rows.where("n > 0").join(place, ["n", "k1", "k2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
