@@ -113,6 +113,32 @@ def test_signatures_of_linked_sets_meet():
         assert near[0] & near[1]
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_signatures_of_linked_sets_of_unequal_size_meet(percent):
+    rng = np.random.default_rng(7)
+    for n in list(range(5, 60)) + [80, 120, 399]:
+        for m in sorted({n, n + 1, 100 * n // percent - 1, 100 * n // percent}):
+            if m < n or 100 * n < percent * m:
+                continue
+            large = rng.choice(2**62, m, replace=False).astype(np.uint64)
+            for few in (0.0, 0.3):
+                count = np.where(rng.random(m) < few, 0, rng.choice([20, 300], m))
+                one, two = (np.argsort(large[:c]) for c in (n, m))
+                near = []
+                for i in (one, two):
+                    g, r = ngram_join.signatures(large[i], count[i], percent)
+                    near.append(set(g[r <= len(i) - ngram_join.overlap(n, m, percent)].tolist()))
+                assert near[0] & near[1], (n, m, few)
+
+
+def test_copies_over_many_tasks_link_with_a_longer_version(spark):
+    rng = random.Random(11)
+    base = text(rng, 31)
+    rows = [(i, base) for i in range(40)] + [(40, base + " " + text(rng, 6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.link(df, 5, 80).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_ngram_join_edges(spark, awkward):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(awkward).collect()}
     assert {(2, 0, 2), (3, 0, 3), (4, 0, 4), (6, 1, 6), (7, 1, 6), (None, 0, None)} <= got

@@ -43,8 +43,11 @@ BROADCAST_IDS = 1_000_000
 _RANGES = 256
 #: Longs of the parity bitmap of a set: what differs between two bitmaps differs between the sets.
 _BITMAP = 16
-#: Sizes of linked sets differ by less than this factor, so they are in the same band or neighbours.
-_BAND = 1 / 0.84
+
+
+def _width(percent: int) -> float:
+    """Sizes of linked sets differ by less than this factor, so they are in the same band or neighbours."""
+    return 100 / (percent - 1)
 
 
 def overlap(a, b, percent: int = PERCENT):
@@ -118,13 +121,13 @@ def _counted(least: int):
     return run
 
 
-def _band(n: int) -> int:
-    return int(np.log(n) / np.log(_BAND))
+def _band(n: int, percent: int) -> int:
+    return int(np.log(n) / np.log(_width(percent)))
 
 
-def _classes(band: int) -> int:
+def _classes(band: int, percent: int) -> int:
     """How many classes the frequent shingles of sets in this size band have."""
-    return max(1, int(_BAND ** band) // 16)
+    return max(1, int(_width(percent) ** band) // 16)
 
 
 def signatures(s: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +142,10 @@ def signatures(s: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tupl
     often = np.flatnonzero(count > 0)
     often = often[np.lexsort((s[often], count[often]))]
     scramble = mix64(s[often])
-    for band in (_band(n), _band(n) - 1):
+    for band in (_band(n, percent), _band(n, percent) - 1):
         seen: dict[int, list[int]] = {}
         spoil = len(rare)
-        cls = (scramble % np.uint64(_classes(band))).tolist()
+        cls = (scramble % np.uint64(_classes(band, percent))).tolist()
         new, at = [], []
         for i, c in enumerate(cls):
             if spoil > budget:
