@@ -139,6 +139,14 @@ def test_copies_over_many_tasks_link_with_a_longer_version(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join.link(df, 5, 80).collect()} == {(i, 0) for i in range(41)}
 
 
+def test_smallest_sets_that_link_with_another(spark):
+    words = [f"s{i}" for i in range(9)]
+    rows = [(0, " ".join(words[:8])), (1, " ".join(words)), (2, " ".join(["t", *words[:8]])), (3, " ".join(words[:7]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(df, 5, 80).collect()}
+    assert got == brute(rows, 5, 80) == {0: (4, 0), 1: (5, 0), 2: (5, 0), 3: (3, 3)}
+
+
 def test_ngram_join_edges(spark, awkward):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(awkward).collect()}
     assert {(2, 0, 2), (3, 0, 3), (4, 0, 4), (6, 1, 6), (7, 1, 6), (None, 0, None)} <= got

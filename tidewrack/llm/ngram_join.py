@@ -170,7 +170,7 @@ def _signature_rows(k: int, percent: int, table):
         for fresh in _new_sets(batches, 0, k):
             sig, rank, rep, size = [], [], [], []
             for _, s, key in fresh:
-                if len(s) <= percent // (100 - percent):  # links with nothing but its equal
+                if len(s) * (100 - percent) < percent:  # links with nothing but its equal
                     continue
                 f = (s >> np.uint64(32)).astype(np.uint32)
                 at = np.minimum(np.searchsorted(fold, f), max(0, len(fold) - 1))
