@@ -195,6 +195,17 @@ def test_chain_is_the_best_by_brute_force():
         assert abs(substring.chain(parts)[0][0] - best) < 1e-9
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_chains_of_a_passage_held_twice(swap):
+    at = [(10 + i, 20 + i) for i in range(60)] + [(200 + i, 20 + i) for i in range(60)]
+    p, q = zip(*[(y, x) if swap else (x, y) for x, y in at])
+    n = len(p)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([1] * n, [2] * n, p, q, [8] * n)], ["a", "b", "pa", "pb", "k"])
+    got = [r for b in substring._chains([batch]) for r in b.to_pylist()]
+    spans = sorted((r["b0"], r["b1"]) if swap else (r["a0"], r["a1"]) for r in got)
+    assert spans == [(10, 77), (200, 267)]
+
+
 def test_passages_edges(spark, awkward):
     assert substring.passages(awkward).count() == 0 and substring.passages(awkward.limit(0)).count() == 0
 
