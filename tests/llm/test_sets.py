@@ -195,6 +195,22 @@ def test_chain_is_the_best_by_brute_force():
         assert abs(substring.chain(parts)[0][0] - best) < 1e-9
 
 
+def test_passages_recall_down_to_the_least_identity(spark):
+    rng = random.Random(21)
+    rows, kinds = [], [(n, how) for n in (50, 60, 100) for how in (5, 7, 10, 0.1, 0.15, 0.2) for _ in range(8)]
+    for i, (n, how) in enumerate(kinds):
+        w = [f"p{i}_{j}" for j in range(n)]
+        places = range(how - 1, n, how) if how > 1 else rng.sample(range(n), int(n * how))
+        v = list(w)
+        for j in places:
+            v[j] = f"c{i}_{j}"
+        rows += [(2 * i, " ".join([text(rng, 80), *w, text(rng, 80)])), (2 * i + 1, " ".join([text(rng, 80), *v, text(rng, 80)]))]
+    got = {(r.partner_id, r.doc_id) for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    missed = [kinds[i] for i in range(len(kinds)) if (2 * i, 2 * i + 1) not in got]
+    assert not missed
+    assert len(got) == len(kinds)
+
+
 @pytest.mark.parametrize("swap", [False, True])
 def test_chains_of_a_passage_held_twice(swap):
     at = [(10 + i, 20 + i) for i in range(60)] + [(200 + i, 20 + i) for i in range(60)]
