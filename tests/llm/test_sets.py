@@ -211,6 +211,33 @@ def test_passages_recall_down_to_the_least_identity(spark):
     assert len(got) == len(kinds)
 
 
+def test_alignment_compares_the_words_of_its_seeds():
+    x, y = np.arange(60, dtype=np.uint64), np.arange(60, dtype=np.uint64)
+    y[10:14] += np.uint64(100)
+    assert substring.align([(0, 0, 4), (10, 10, 4), (20, 20, 40)], x, y) == (0, 60, 0, 60, 56)
+
+
+def test_seeds_of_many_rows_come_as_common_ones_too():
+    n = substring._HOLD * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([5] * 1000, [1 if i < n - 40 else 2 + (i - n + 40) // 10 for i in range(s, s + 1000)], range(2 * s, 2 * s + 2000, 2))], ["seed", "rep", "at"]) for s in range(0, n, 1000)]
+    got = [r for b in substring._matches(False)(batches) for r in b.to_pylist()]
+    common = [(r["seed"], r["a"], r["pa"]) for r in got if r["k"] == 0]
+    assert len(common) == len(set(common)) == 1000 * len(batches)
+
+
+def test_passages_of_frequent_lines(spark):
+    rng = random.Random(31)
+    lines = [" ".join(f"l{i}_{j}" for j in range(12)) for i in range(8)]
+    rows = [(i, text(rng, 40) + " " + lines[i % 8] + " " + text(rng, 40)) for i in range(160)]
+    pairs = [(1000 + 2 * i, 1001 + 2 * i) for i in range(3)]
+    for (a, b), order in zip(pairs, ([0, 1, 2, 3, 4, 5, 6, 7], [3, 1, 6, 0, 7, 2, 5, 4], [7, 5, 2, 4, 1, 3, 0, 6])):
+        w = " ".join(lines[i] for i in order).split()
+        v = [f"c{a}_{i}" if i % 12 == 0 else x for i, x in enumerate(w)]  # so that every equal stretch is within a line
+        rows += [(a, " ".join([text(rng, 30), *w, text(rng, 30)])), (b, " ".join([text(rng, 30), *v, text(rng, 30)]))]
+    got = {(r.partner_id, r.doc_id) for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == set(pairs)
+
+
 @pytest.mark.parametrize("swap", [False, True])
 def test_chains_of_a_passage_held_twice(swap):
     at = [(10 + i, 20 + i) for i in range(60)] + [(200 + i, 20 + i) for i in range(60)]
