@@ -130,6 +130,15 @@ def test_graph(spark):
     assert rows(R.ego(full, "me"), "id", "role", "unseen") == [("p", "parent", 0), ("sis", "sibling", 0), ("w", "partner", 1)]
 
 
+
+def test_search_ends_only_where_no_node_is_new(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(14)], "a int, b int")
+    far = R.hops(edges, spark.createDataFrame([(0,)], "id int"))
+    assert rows(far, "node", "hops") == [(i, i) for i in range(15)]
+    assert rows(R.hops(edges, spark.createDataFrame([(0,)], "id int"), most=2), "node") == [(0,), (1,), (2,)]
+    assert R.path_to(edges, 0, 14) == list(range(15))
+
+
 def test_life_events(spark):
     people = records(spark, "people", [{"id": "a", "name": "A", "dob": ("1830-05-03", "exact", None), "dod": ("1911-06-22", "exact", None)}, {"id": "b", "name": "B", "dob": ("1860-01-01", "exact", None)}])
     edges = records(spark, "relationships", [{"a": "a", "b": "b", "kind": "spouse", "date": ("1888-06-20", "exact", None)}])

@@ -22,9 +22,10 @@ def family_ids(edges: DataFrame, people: DataFrame) -> DataFrame:
     return family_edges(edges, people).select(F.col("a").alias("id")).distinct()
 
 
-def hops(edges: DataFrame, sources: DataFrame, most: int = 10, parents: bool = False) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, most: int | None = None, parents: bool = False) -> DataFrame:
     """(source, node, hops) and, if wanted, the neighbour nearer to the source: breadth-first
-    search from each source (column ``id``) over undirected edges (a, b), as deep as ``most``.
+    search from each source (column ``id``) over undirected edges (a, b), as deep as ``most``
+    where it is given.
 
     One join per level on the frontier alone; visited nodes leave by anti-join, and the state
     of each level is cut from its lineage by a checkpoint. It ends when no node is new. Of
@@ -37,7 +38,9 @@ def hops(edges: DataFrame, sources: DataFrame, most: int = 10, parents: bool = F
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     start = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("parent"))
     seen = frontier = start.checkpoint()
-    for level in range(1, most + 1):
+    level = 0
+    while most is None or level < most:
+        level += 1
         new = frontier.select("source", F.col("node").alias("a")).join(both, "a").groupBy("source", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         frontier = new.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("hops"), "parent").checkpoint()
         if not frontier.head(1):
@@ -46,9 +49,9 @@ def hops(edges: DataFrame, sources: DataFrame, most: int = 10, parents: bool = F
     return seen if parents else seen.drop("parent")
 
 
-def path_to(edges: DataFrame, start, end, most: int = 10) -> list | None:
+def path_to(edges: DataFrame, start, end, most: int | None = None) -> list | None:
     """The nodes of a shortest path, or None if there is none or both ends are one. Each step
-    reads one row back from the search, at most ``most`` of them."""
+    reads one row back from the search, at most ``most`` of them where it is given."""
     spark = edges.sparkSession
     if start == end:
         return None
