@@ -131,6 +131,14 @@ def test_graph(spark):
 
 
 
+def test_short_lines_have_scores(spark, tmp_path):
+    from tidewrack import bindings
+    words = [f"w{i}" for i in range(15)]
+    spark.createDataFrame([(1, " ".join(words[:6]) + "\nother line"), (2, " ".join(words[:5])), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(bindings.queries()["q_jaccard"](spark, str(tmp_path)), "doc_id", "item_id", "score") == [(1, 7, 0.4)]
+
+
 def test_search_ends_only_where_no_node_is_new(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(14)], "a int, b int")
     far = R.hops(edges, spark.createDataFrame([(0,)], "id int"))

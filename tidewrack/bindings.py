@@ -446,7 +446,7 @@ b AS (SELECT item_id, list_distinct(list_filter(string_split(replace(text, chr(1
 j AS (SELECT doc_id, line, item_id, len(list_intersect(w, b)) AS k, len(w) + len(b) - len(list_intersect(w, b)) AS u FROM w, b WHERE len(w) >= 8 AND len(w) * 3 >= len(b))
 SELECT doc_id, item_id, round(max(k / u), 6) AS score FROM j WHERE 50 * k >= 17 * u GROUP BY 1, 2""")
 def q_jaccard(t):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct().select("doc_id", F.array_distinct(X.line_words(F.col("line"))).alias("w")).where(F.size("w") >= 8)
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct().select("doc_id", F.array_distinct(X.line_words(F.col("line"))).alias("w"))
     items = t.benchmark.select("item_id", F.array_distinct(X.line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("b"))
     # a shared word is necessary: candidates come from an equi-join on words, counted by pair
     lines = lines.withColumn("line_no", F.xxhash64("doc_id", "w"))
