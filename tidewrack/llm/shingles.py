@@ -66,6 +66,31 @@ def word_hashes(texts: pa.Array, lower: bool = True, marks: np.ndarray | None =
         row = stop
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Words of each text, counted as :func:`word_hashes` finds them."""
+    texts = texts.cast(pa.large_string())
+    out = np.zeros(len(texts), np.int32)
+    data = texts.buffers()[2]
+    if data is None or not len(texts):
+        return out
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw, row = np.frombuffer(data, np.uint8), 0
+    while row < len(texts):
+        stop = int(np.searchsorted(ends, ends[row] + CHUNK_BYTES, "right")) - 1
+        stop = min(len(texts), max(row + 1, stop))
+        b, at = raw[ends[row]:ends[stop]], ends[row:stop + 1] - ends[row]
+        first = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        border = np.zeros(len(b) + 1, bool)
+        border[at] = True
+        first[1:] &= ~first[:-1] | border[1:len(b)]
+        starts = np.flatnonzero(first)
+        out[row:stop] = np.diff(np.searchsorted(starts, at))
+        row = stop
+    if texts.null_count:
+        out[~texts.is_valid().to_numpy(zero_copy_only=False)] = 0
+    return out
+
+
 def _hash(b: np.ndarray, ends: np.ndarray, lower: bool, marks: np.ndarray | None) -> tuple[np.ndarray, ...]:
     n = len(b)
     if not n:
