@@ -25,8 +25,13 @@ SHARDS = 24
 ROW_BYTES = 8
 #: A shard may end this fraction of a shard away from its exact place.
 TOLERANCE = 0.01
-#: Bits of the key that one round of probes resolves.
+#: A splitter inside a group of equal texts goes to the nearer end of it, if that is at most this fraction of a shard away.
+WHOLE = 0.25
+#: A unit that a task sorts may end this fraction of a unit away from its place.
+UNIT_TOLERANCE = 0.1
+#: Bits of the key that one round of probes resolves, fewer where many splitters are open: the driver sees MAX_PROBES counts a round.
 STEP_BITS = 12
+MAX_PROBES = 2**21
 #: Inside a shard, a task sorts about this many bytes.
 TASK_BYTES = 128 * 2**20
 _KEY_BITS = 128  # the text's hash, then the id's
@@ -53,14 +58,15 @@ def _top(bits: int, step: int) -> F.Column:
     return one("k2", bits - 64, step)
 
 
-def splitters(keys: DataFrame, aims_at: list[float], total: int, slack: float) -> list[tuple[int, int, int]]:
+def splitters(keys: DataFrame, aims_at: list[float], slack: list[float], whole: list[float]) -> list[tuple[int, int, int]]:
     """For each wanted byte position the (key, bytes below, rows below) of a boundary within
-    ``slack`` bytes of it, or the nearest one that exists. ``keys`` has k1, k2, n."""
+    its ``slack`` bytes of it, else of one between texts within ``whole`` bytes, else the nearest
+    one that exists. ``keys`` has k1, k2, n."""
     found: dict[int, tuple[int, int, int]] = {}
     gaps = [_Gap(0, 0, 0, 0, list(range(len(aims_at))))]
     while gaps:
         bits = gaps[0].bits
-        step = min(STEP_BITS, (64 if bits < 64 else _KEY_BITS) - bits)
+        step = min(max(2, min(STEP_BITS, (MAX_PROBES // len(gaps)).bit_length() - 1)), (64 if bits < 64 else _KEY_BITS) - bits)
         bins = keys.withColumn("bin", _top(bits, step))
         if bits:
             table = [(_signed(g.prefix >> (bits - 64) if bits > 64 else g.prefix << (64 - bits)),
@@ -85,7 +91,8 @@ def splitters(keys: DataFrame, aims_at: list[float], total: int, slack: float) -
             for a in g.aims:
                 k = max(0, bisect_right(places, aims_at[a]) - 1)
                 near = min(edges[k:k + 2], key=lambda e: abs(e[1] - aims_at[a]))
-                if abs(near[1] - aims_at[a]) <= slack or bits + step == _KEY_BITS or k + 1 == len(edges):
+                away = abs(near[1] - aims_at[a])
+                if away <= slack[a] or bits + step == 64 and away <= whole[a] or bits + step == _KEY_BITS or k + 1 == len(edges):
                     found[a] = (near[0] << (_KEY_BITS - bits - step), near[1], near[2])
                 else:
                     b = inside[k][0]
@@ -105,9 +112,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, i
     """``docs`` with size, shard and slot (0, 1, ... without gaps in each shard), stored by
     shard and slot. Clashing names get underscores.
 
-    Shards have equal bytes to within ``tolerance`` of a shard at either end, and equal
-    texts share a shard unless they are too many for that; rows equal in text and id are
-    never parted. Null texts count as no bytes and stand together. Empty input: no rows.
+    Shards have equal bytes to within ``tolerance`` of a shard at either end, or to within half a
+    group of equal texts that lies across the end. Equal texts share a shard unless they make
+    more than half of one (twice WHOLE), when the group is cut between ids; rows equal in text and
+    id are never parted. Null texts count as no bytes and stand together. Empty input: no rows.
     """
     names = docs.columns
     size, at, slot = (free_name(names, x) for x in ("size", "shard", "slot"))
@@ -122,7 +130,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, i
     total, rows = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     parts = max(1, math.ceil(total / shards / TASK_BYTES))
     wanted = [total * i / (shards * parts) for i in range(1, shards * parts)]
-    ends = splitters(keys, wanted, total, tolerance * total / shards) if wanted else []
+    one, unit_bytes = total / shards, total / (shards * parts)
+    slack = [tolerance * one if i % parts == 0 else UNIT_TOLERANCE * unit_bytes for i in range(1, shards * parts)]
+    whole = [WHOLE * one if i % parts == 0 else UNIT_TOLERANCE * unit_bytes for i in range(1, shards * parts)]
+    ends = splitters(keys, wanted, slack, whole) if wanted else []
+    bounds = [(0, 0, 0), *ends[parts - 1::parts], (2**_KEY_BITS, total, rows)]
+    ends = [min(max(e, bounds[i // parts]), bounds[i // parts + 1]) if i % parts else e for i, e in enumerate(ends, 1)]  # a shard's end may lie before units that it was to follow
     # bounds of the units a task sorts: (first key, shard, rows of the shard before it)
     starts, first = [(0, 0, 0)], 0
     for i, (key, _, below) in enumerate(ends, 1):
