@@ -34,13 +34,13 @@ FREQUENT = 16
 TABLE_ROWS = 1 << 20
 #: Groups up to this size are paired in full at once.
 SMALL_GROUP = 64
-#: Rounds in which large unsettled groups are linked to one more member each before all their open pairs are compared.
-PIVOT_ROUNDS = 3
-#: ... unless those pairs are no more than this many for each row in such a group.
+#: All open pairs of large unsettled groups are compared at once if they are no more than this many for each row in such a group;
+#: else the groups are linked to more members first, twice as many every round, and what that has joined is not open any more.
 OPEN_PAIRS = 64
 #: Documents of candidate pairs are picked from the corpus by broadcast up to this many ids, 16 MB; by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
-_RANGES = 256
+#: Ranges of folds in which shingles are counted: so many that one holds about this many, and at least 256.
+RANGE_FOLDS = 2_000_000
 #: Longs of the parity bitmap of a set: what differs between two bitmaps differs between the sets.
 _BITMAP = 16
 
@@ -88,14 +88,15 @@ def _new_sets(batches, column: int, k: int):
         yield fresh
 
 
-def _folded(k: int):
+def _folded(k: int, bits: int):
     """A row per range of 32-bit shingle folds and batch: the sorted folds as differences, one
     byte plane after another, which the shuffle's compression halves."""
     def run(batches):
         for fresh in _new_sets(batches, 0, k):
             f = np.sort((np.concatenate([s for _, s, _ in fresh]) >> np.uint64(32)).astype(np.uint32)) if fresh else np.zeros(0, np.uint32)
-            ends = np.searchsorted(f, np.arange(1, _RANGES, dtype=np.uint64) << np.uint64(24))
-            parts = [(i, np.diff(p, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for i, p in enumerate(np.split(f, ends)) if len(p)]
+            own = f >> np.uint32(32 - bits)
+            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(f) else np.zeros(0, np.int64)
+            parts = [(int(own[a]), np.diff(f[a:b], prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in zip(start.tolist(), np.append(start[1:], len(f)).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["range", "folds"])
     return run
 
@@ -306,7 +307,10 @@ def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
         "n", "k1", "k2", F.col("x.id").alias("rep"), "x.bits"))
     texts = plain.where("rep is not null").select("text")
     # counts of shingles over all sets
-    spread = texts.mapInArrow(_folded(k), "range int, folds binary").repartitionById(_RANGES, F.col("range"))
+    shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(24, max(8, (shingles // RANGE_FOLDS).bit_length()))
+    tasks = min(bits, 13)  # a task handles its ranges one after the other
+    spread = texts.mapInArrow(_folded(k, bits), "range int, folds binary").repartitionById(1 << tasks, F.shiftright("range", bits - tasks)).sortWithinPartitions("range")
     counts = spread.mapInArrow(_counted(FREQUENT), "fold long, n long").orderBy(F.desc("n"), "fold").limit(TABLE_ROWS).toPandas().sort_values("fold")
     table = spark.sparkContext.broadcast((counts["fold"].to_numpy(np.uint32), counts["n"].to_numpy(np.int64)))
     sigs = texts.mapInArrow(_signature_rows(k, percent, table), "sig long, rep long, n int, rank int")
@@ -316,9 +320,8 @@ def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     edges = cut(_verified(pairs, classes, plain, k, percent))
     labels = components(edges)
     members = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("k1"), "at", "n", "rank")
-    tried, turn = pairs, 0
+    tried, done, pivots = pairs, 1, 1
     while members.head(1):
-        turn += 1
         place = classes.select("k1", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", F.coalesce("component", "rep").alias("component"))
         known = cut(members.join(place, "k1"))
         # what is open: groups of several components, and in them rows that a partner of the group's smallest size could reach
@@ -329,11 +332,11 @@ def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
         bound, rows_open = mixed.agg(F.coalesce(F.sum("p") / 2, F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if not bound:
             break
-        last = turn > PIVOT_ROUNDS or bound <= OPEN_PAIRS * rows_open
+        last = bound <= OPEN_PAIRS * rows_open
         x, y = open_.alias("x"), open_.alias("y")
         o = F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent})")
         may = (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") <= F.col("x.n") - o) & (F.col("y.rank") <= F.col("y.n") - o)
-        one = F.lit(True) if last else F.col("x.at") == turn
+        one = F.col("x.at") >= done if last else F.col("x.at").between(done, done + pivots - 1)
         more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & one & (F.col("y.at") > F.col("x.at")) & may).select(
             F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
         more = cut(more.join(tried, ["a", "b"], "left_anti"))
@@ -343,6 +346,8 @@ def link(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
             tried = tried.unionByName(more)
         if last:
             break
+        done, pivots = done + pivots, 2 * pivots
+        members = open_.where(F.col("at") >= done).drop("component")  # what is joined stays joined, and the pivots have met all
     place = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     full = rows.where("n > 0").join(place, ["n", "k1", "k2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
