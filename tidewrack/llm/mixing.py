@@ -31,6 +31,10 @@ SEED = 20_260
 #: The hash order is cut into this many bins per source to find where a source's draw ends.
 CUT_BITS = 12
 MAX_BLOCKS = 65_536
+#: Sources are categories: the driver plans with a row for each, and more than this many are refused.
+MAX_SOURCES = 65_536
+#: Cells of the table source by shard that the driver fills.
+MAX_CELLS = 20_000_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, limit: float = LIMIT) -> list[float]:
@@ -78,9 +82,10 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int
     """``docs`` with size, source_size, target and shards (array<int>: one output shard for
     every time the document is drawn; empty: not drawn). Clashing names get underscores.
 
-    Sources are ordered by code point, null last, and take ``weights`` in turn. Null or
-    blank texts have size 0 and are drawn with their neighbours in hash order. Rows with
-    equal id and text share a hash and are drawn alike. Empty input: empty output.
+    Sources are ordered by code point, null last, and take ``weights`` in turn; more than
+    MAX_SOURCES raise ValueError. Null or blank texts have size 0 and are drawn with their
+    neighbours in hash order. Rows with equal id and text stand at the same place; where a draw
+    ends among them, as many of them are drawn as the target asks for. Empty input: empty output.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -90,8 +95,12 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int
         size: n_words(column(docs, text_col)),
         h: F.xxhash64(F.lit(seed), column(docs, id_col), column(docs, text_col)),
     })
-    keys = cut(seen.select(column(docs, source_col).cast("string").alias("s"), F.col(size).alias("n"), F.col(h).alias("h")))
-    per = sorted(((r.s, int(r.n)) for r in keys.groupBy("s").agg(F.sum("n").alias("n")).collect()),
+    keys = cut(seen.select(column(docs, source_col).cast("string").alias("s"), F.col(size).alias("n"), F.col(h).alias("h"), F.spark_partition_id().alias("task")))
+    totals = keys.groupBy("s").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"{source_col} has more than {MAX_SOURCES} values; mix by a coarser source")
+    shards = max(1, min(shards, MAX_CELLS // max(1, len(totals))))
+    per = sorted(((r.s, int(r.n)) for r in totals),
                  key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
     goal = targets([n for _, n in per], [weights[i % len(weights)] for i in range(len(per))], share, limit)
     table = [(i, s, n, g, min(limit, int(g // n)) if n else 0) for i, ((s, n), g) in enumerate(zip(per, goal))]
@@ -105,21 +114,23 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int
     bins = keyed.groupBy("sid", "q", "b").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(order))
     edge = cut(bins.where("upto >= q and upto - n < q").groupBy("sid", "q").agg(
         F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("below"))).alias("e")).select("sid", "q", "e.*"))
-    inside = keyed.join(edge.select("sid", "b", "below"), ["sid", "b"])
-    run = F.sum("n").over(Window.partitionBy("sid").orderBy(F.shiftrightunsigned("h", 1), "h"))
-    cuts = inside.withColumn("c", F.col("below") + run).groupBy("sid", "q").agg(
-        F.min_by(F.struct("h", "c"), F.struct(F.abs(F.col("c") - F.col("q")), "h")).alias("best"),
-        F.first("below").alias("below")).select(
-        "sid", "q", F.when(F.abs(F.col("below") - F.col("q")) < F.abs(F.col("best.c") - F.col("q")),
-                           F.struct(F.lit(None).cast("long").alias("h"), F.col("below").alias("c"))).otherwise(F.col("best")).alias("best"))
-    cuts = cut(cuts.join(edge.select("sid", "b"), "sid").select("sid", "q", "b", F.col("best.h").alias("last"), F.col("best.c").alias("c")))
-    # one document more or less, the one whose size comes nearest to what is still missing
+    # inside that bin: the last place drawn as a whole, and the place at which the target is crossed
+    place = keyed.join(edge.select("sid", "b", "below"), ["sid", "b"]).groupBy("sid", "q", "b", "below", "h").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy("sid").orderBy(F.shiftrightunsigned("h", 1), "h")
+    place = place.withColumn("c", F.col("below") + F.sum(F.col("n") * F.col("m")).over(order))
+    cuts = place.groupBy("sid", "q", "b").agg(
+        F.max_by("h", F.when(F.col("c") <= F.col("q"), F.struct(F.shiftrightunsigned("h", 1), F.col("h")))).alias("last"),
+        F.min_by(F.struct("h", "n", "m", (F.col("c") - F.col("n") * F.col("m")).alias("c")), F.when(F.col("c") > F.col("q"), F.struct(F.shiftrightunsigned("h", 1), F.col("h")))).alias("x"),
+        F.max("c").alias("full"))
+    some = F.coalesce(F.floor((F.col("q") - F.col("x.c")) / F.col("x.n")), F.lit(0)).cast("int")  # of the rows at the crossing
+    cuts = cut(cuts.select("sid", "q", "b", "last", F.col("x.h").alias("cross"), some.alias("some"), (F.col("q") - F.coalesce(F.col("x.c") + some * F.col("x.n"), F.col("full"))).alias("gap")))
+    # one document more, if the size of some comes nearer to what is still missing than none does
     taken = _drawn(F.col("h"), F.col("b"), F.col("last"))
-    gap = F.col("q") - F.col("c")
-    apart = F.abs(F.abs(gap) - F.col("n"))
-    fix = keyed.drop("b", "q").join(cuts, "sid").where(F.when(gap > 0, ~taken).otherwise(taken) & (apart < F.abs(gap))).groupBy(
-        "sid").agg(F.min_by("h", F.struct(apart, "h")).alias("fix"))
-    rule = cuts.join(fix, "sid", "left").select("sid", "b", "last", "fix")
+    apart = F.abs(F.col("gap") - F.col("n"))
+    fix = keyed.drop("b", "q").join(cuts, "sid").where(~taken & (apart < F.col("gap"))).groupBy("sid").agg(F.min_by("h", F.struct(apart, "h")).alias("fix"))
+    rule = cuts.join(fix, "sid", "left").select(
+        "sid", "b", "last", "cross", (F.col("some") + F.coalesce((F.col("fix") == F.col("cross")).cast("int"), F.lit(0))).alias("some"),
+        F.when(F.coalesce(F.col("fix") != F.col("cross"), F.lit(True)), F.col("fix")).alias("fix"))
     rules = cut(sources.join(rule, "sid", "left").withColumnRenamed("s", "rule_s"))
     # blocks: ranges of the hash order, dealt to shards by the tree
     bits = max(0, min(10, int(math.log2(MAX_BLOCKS / max(1, len(per))))))
@@ -136,10 +147,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int
         F.array_sort(F.collect_list(F.struct("turn", "shard"))).alias("dealt"))
     dealt = cut(dealt)
     renamed = rules.select(*[F.col(c).alias(f"mix_rule_{c}") for c in rules.columns])
-    placed = seen.join(F.broadcast(renamed), column(docs, source_col).cast("string").eqNullSafe(F.col("mix_rule_rule_s")))
+    placed = seen.withColumn("mix_rule_task", F.spark_partition_id()).join(F.broadcast(renamed), column(docs, source_col).cast("string").eqNullSafe(F.col("mix_rule_rule_s")))  # a row per source
+    placed = _numbered(placed, keys.join(rules, keys.s.eqNullSafe(rules.rule_s)), h)
     blk = F.shiftrightunsigned(F.col(h), 64 - bits) if bits else F.lit(0).cast("long")
     placed = placed.join(F.broadcast(dealt), (F.col("mix_rule_sid") == F.col("d_sid")) & (blk == F.col("d_block")), "left")
-    copies = _copies("mix_rule_", F.col(h))
+    copies = _copies("mix_rule_", F.col(h), F.col("mix_rule_number"))
     return placed.select(
         *[column(docs, c) for c in names], F.col(size), F.col("mix_rule_total").alias(total), F.col("mix_rule_target").alias(target),
         F.when(copies > 0, F.transform(F.slice("dealt", 1, copies), lambda x: x["shard"])).otherwise(
@@ -154,17 +166,38 @@ def _drawn(h, b, last):
     return F.coalesce((bin_ < b) | ((bin_ == b) & F.coalesce(before, F.lit(False))), F.lit(False))
 
 
-def _copies(prefix: str = "", h=None):
-    h = F.col("h") if h is None else h
-    drawn = _drawn(h, F.col(f"{prefix}b"), F.col(f"{prefix}last"))
-    other = F.coalesce(h == F.col(f"{prefix}fix"), F.lit(False))
-    return F.col(f"{prefix}rounds") + (drawn != other).cast("int")
+def _copies(prefix: str = "", h=None, number=None):
+    """How often a row is drawn; without ``number``, its number among its equals, how often the first
+    of them is."""
+    h, number = F.col("h") if h is None else h, F.lit(1) if number is None else number
+    once = _drawn(h, F.col(f"{prefix}b"), F.col(f"{prefix}last"))
+    part = F.coalesce((h == F.col(f"{prefix}cross")) & (number <= F.col(f"{prefix}some")), F.lit(False))
+    more = F.coalesce((h == F.col(f"{prefix}fix")) & (number <= 1), F.lit(False))
+    return F.col(f"{prefix}rounds") + (once | part | more).cast("int")
+
+
+def _numbered(placed: DataFrame, keys: DataFrame, h: str) -> DataFrame:
+    """``placed`` with mix_rule_number: 1, 2, ... over the equal rows at a place that is drawn in part,
+    and 1 elsewhere. Such rows are numbered task by task of the scan, after those of the tasks before, so equal rows
+    do not meet in one task; without any, nothing moves."""
+    at = F.coalesce((F.col("h") == F.col("cross")) & (F.col("some") > 0) | (F.col("h") == F.col("fix")), F.lit(False))
+    tied = cut(keys.where(at).groupBy("sid", "h", "task").agg(F.count(F.lit(1)).alias("m")))
+    if not tied.groupBy("sid", "h").agg(F.sum("m").alias("m")).where("m > 1").head(1):
+        return placed.withColumn("mix_rule_number", F.lit(1).cast("long"))
+    before = F.sum("m").over(Window.partitionBy("sid", "h").orderBy("task")) - F.col("m")
+    tied = cut(tied.select(F.col("sid").alias("t_sid"), F.col("h").alias("t_h"), F.col("task").alias("t_task"), before.alias("t_before")))
+    mine = F.coalesce((F.col(h) == F.col("mix_rule_cross")) & (F.col("mix_rule_some") > 0) | (F.col(h) == F.col("mix_rule_fix")), F.lit(False))
+    own = F.row_number().over(Window.partitionBy("mix_rule_sid", h, "mix_rule_task").orderBy(F.lit(1)))
+    some = placed.where(mine).join(tied, (F.col("mix_rule_sid") == F.col("t_sid")) & (F.col(h) == F.col("t_h")) & (F.col("mix_rule_task") == F.col("t_task")))
+    some = some.withColumn("mix_rule_number", own + F.col("t_before")).drop("t_sid", "t_h", "t_task", "t_before")
+    return placed.where(~mine).withColumn("mix_rule_number", F.lit(1).cast("long")).unionByName(some)
 
 
 def mix(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as it is drawn, with mix_shard, in
     random order inside each shard. A shard holds about 64 MB of text unless ``shards``
-    says otherwise."""
+    says otherwise. Nulls, equal rows and too many sources as in :func:`mix_plan`; equal rows
+    are drawn each for itself. Empty input: no rows."""
     if shards is None:
         text = options.get("text_col", "text")
         all_bytes = docs.agg(F.sum(F.octet_length(column(docs, text)))).first()[0] or 0
