@@ -36,7 +36,7 @@ STEPS = 300
 
 # marks of a byte: lower case, upper case, digit, list mark, symbol, plain punctuation; bytes of other scripts' letters count as lower case
 _LOWER, _UPPER, _DIGIT, _LIST, _SYMBOL, _PLAIN = (1 << i for i in range(6))
-_MARKS = np.zeros(256, np.int64)
+_MARKS = np.zeros(256, np.uint8)
 _MARKS[97:123], _MARKS[65:91], _MARKS[48:58], _MARKS[128:] = _LOWER, _UPPER, _DIGIT, _LOWER
 for _b in b"!#$%&*+/<=>@\\^_`{}~[]":
     _MARKS[_b] = _SYMBOL

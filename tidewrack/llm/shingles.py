@@ -16,7 +16,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 #: Texts are hashed this many bytes at a time; a longer text goes alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -111,7 +111,10 @@ def _hash(b: np.ndarray, ends: np.ndarray, lower: bool, marks: np.ndarray | None
     stops = np.flatnonzero(last) + 1
     power, inverse = _power(n)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, out=run[1:])
+    run[1:] = b
+    run[1:] += np.uint64(1)
+    run[1:] *= power
+    np.cumsum(run, out=run)
     h = (run[stops] - run[starts]) * inverse[starts]
     at = np.searchsorted(starts, ends).astype(np.int64)
     if marks is None:
