@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,78 @@ def test_blocks_without_article_element():
     assert html_text.main_text(page).split("\n") == [good.strip(), "Short in between", good.strip()]
 
 
+PROSE = "It is the case that the men of the town went to the sea in the morning and that they did not come back from it"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><form action=x><nav><a href=y>menu</a></nav><article><h1>Title</h1><p>{PROSE}.</p></article><input name=z></form></body>", ["Title", PROSE + "."]),
+    (f"<body><form action=x><div><p>{PROSE}, and so on, {PROSE}.</p></div></form></body>", [f"{PROSE}, and so on, {PROSE}."]),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{PROSE}.</p><form><p>Write to us and say what you have seen of it.</p></form></article>", ["Title", PROSE + "."]),
+    (f"<article><p>{PROSE}.</p><svg><path d='x'><p>After the drawing</p><p>{PROSE}!</p></article>", [PROSE + ".", "After the drawing", PROSE + "!"]),
+    (f"<article><p>{PROSE}.</p><svg><g><svg></svg></g></svg><noscript>{PROSE}</noscript><p>Last</p></article>", [PROSE + ".", "Last"]),
+    (f"<article><p>One line<br>and the same block<br/>{PROSE}</p></article>", [f"One line and the same block {PROSE}"]),
+    ("<article><p>xyzzy plugh qwe</p><p>" + "zork " * 60 + "</p></article>", ["xyzzy plugh qwe", ("zork " * 60).strip()]),
+    (f"<article><p>{PROSE}.</p><p><a href=a>read this</a> <a href=b>and that one too</a></p></article>", [PROSE + "."]),
+    (f"<div class='content with-sidebar'><article><p>{PROSE}.</p></article></div>", [PROSE + "."]),
+    (f"<div class=page><article><p>{PROSE}.</p></article><div id=comments>" + f"<article><p>{PROSE}? said the reader, and {PROSE}.</p></article>" * 5 + "</div></div>", [PROSE + "."]),
+    (f"<div id=x class='post related-wide'><p>{PROSE}, and {PROSE}, and {PROSE}.</p></div>", [f"{PROSE}, and {PROSE}, and {PROSE}."]),
+    (f"<div class=header><p>{PROSE}</p></div><article><p>{PROSE}.</p></article>", [PROSE + "."]),
+])
+def test_main_text_of_awkward_pages(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+class Walk(HTMLParser):
+    """Text of the article element outside the parts that are named, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.handle_data(" ")
+        elif tag not in ("img", "hr"):
+            self.open.append((tag, dict(attrs).get("class", "")))
+            self.edge(tag)
+
+    def handle_endtag(self, tag):
+        while self.open and self.open.pop()[0] != tag:
+            pass
+        self.edge(tag)
+
+    def edge(self, tag):
+        if tag not in ("b", "i", "a", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        if "article" in tags and not set(tags) & {"script", "style", "aside", "nav", "form"} and not any(c in ("share-box", "ad", "comments") for _, c in self.open):
+            self.blocks[-1] += data
+
+
+def test_main_text_of_generated_pages():
+    rng = random.Random(12)
+    words = "the of and to a in is that it was for on as with his they at be this from town harbour lantern Sigel caf&eacute; 1 &lt; 2 &amp; naïve".split()
+
+    def prose(n):
+        return " ".join(rng.choice(words) + rng.choice(["", "", "", ",", ".", "\n", " <b>x</b>", "<br>", " <i>of</i>", "<!-- c -->"]) for _ in range(n))
+
+    def part():
+        kind = rng.randrange(9)
+        if kind < 4:
+            return f"<p>{prose(rng.randrange(1, 120))}</p>"
+        return (f"<h2>{prose(4)}</h2>", f"<ul><li>{prose(6)}</li><li>{prose(30)}</li></ul>", f"<aside><p>{prose(60)}</p></aside>", "<script>var a = '</p>' + 1 < 2;</script><div class='share-box'>Share the page</div>",
+                f"<blockquote>{prose(25)}</blockquote><table><tr><td>{prose(9)}</td><td>{prose(3)}</td></tr></table>")[kind - 4]
+    for _ in range(150):
+        body = "".join(part() for _ in range(rng.randrange(1, 12)))
+        page = (f"<html><head><title>{prose(5)}</title><style>p {{}}</style></head><body><header><p>{prose(40)}</p></header><nav><ul><li><a href=x>{prose(3)}</a></li></ul></nav><div class=ad>{prose(80)}</div>"
+                f"<article><div class='article-header'><h1>{prose(6)}</h1></div>{body}</article><div class='comments'><p>{prose(90)}</p></div><footer>{prose(70)}</footer></body></html>")
+        walk = Walk()
+        walk.feed(page)
+        assert html_text.main_text(page).split("\n") == [t for t in (" ".join(b.split()) for b in walk.blocks) if t]
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, None), (3, "u", "", "x"), (1, "u", PAGE, "x"), (4, "u", "<p>" + "the of and " * 200_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("a.b", F.lit(1))
