@@ -194,3 +194,84 @@ def test_attested_gaps(spark):
     people = records(spark, "people", [{"id": "a", "name": "Ann Voss", "bio": "She married Karl Stein, later wife of Ann Voss"}, {"id": "k", "name": "Karl Stein", "bio": "son of Otto Stein."}, {"id": "o", "name": "Otto Stein"}])
     edges = records(spark, "relationships", [{"a": "k", "b": "a", "kind": "spouse"}])
     assert rows(X.attested_gaps(people, edges), "id", "kind", "claim") == [("k", "parent", "otto stein")]
+
+
+@pytest.mark.parametrize("n", [60])
+def test_piles_of_the_same_common_parts(spark, n):
+    rows_ = [(i, p) for i in range(n) for p in ("x", "y")] + [(100 + i, p) for i in range(3) for p in ("x", f"r{i}")] + [(200, "only"), (201, "only"), (202, None)]
+    df = spark.createDataFrame(rows_, "pile int, part string")
+    sets = {}
+    for k, p in rows_:
+        if p:
+            sets.setdefault(k, set()).add(p)
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= max(1, len(sets[a]) // 2, len(sets[b]) // 2))
+    assert rows(V.pile_overlap(df, "pile", "part"), "a", "b", "shared") == want and len(want) > 1770
+
+
+def test_pile_overlap_against_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    sets = {i: {f"p{rng.randrange(30)}" for _ in range(rng.randrange(1, 12))} for i in range(90)}
+    df = spark.createDataFrame([(k, p) for k, s in sets.items() for p in s], "pile int, part string")
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= max(1, len(sets[a]) // 2, len(sets[b]) // 2))
+    assert rows(V.pile_overlap(df, "pile", "part"), "a", "b", "shared") == want and want
+
+
+def test_a_pile_that_stayed_in_its_folder_keeps_its_batch(spark):
+    s = "batch_id string, path string, fingerprint array<string>"
+    registry = spark.createDataFrame([("b1", "/a", ["p", "q", "r", "s"]), ("b2", "/b", ["t", "u"])], s)
+    new = spark.createDataFrame([("n1", "/a", ["p", "1", "2", "3", "4"]), ("n2", "/c", ["t", "u"]), ("n3", "/a", ["z"])], s)
+    assert rows(V.register(registry, new), "batch_id", "outcome", F.coalesce("moved_from", F.lit("-"))) == [("n1", "content-changed", "b1"), ("n2", "re-associated", "b2"), ("n3", "new", "-")]
+
+
+def test_nearby_against_brute_force(spark):
+    import random
+    rng = random.Random(5)
+    data = [(i, rng.choice("abc"), rng.choice(["x", "y", None]), rng.randrange(40)) for i in range(120)]
+    df = spark.createDataFrame(data, "id int, c string, d string, n int")
+    want = set()
+    for i, c, d, n in data:
+        near = sorted((abs(n - m), j) for j, e, f, m in data if j != i and (c == e or d is not None and d == f or abs(n - m) <= 1))
+        want |= {(i, j, x, r) for r, (x, j) in enumerate(near[:4], 1)}
+    assert set(rows(J.nearby(df, "id", ["c", "d"], "n", 1, ["id"], 4), "id", "near", "distance", "rank")) == want
+
+
+def test_names_resolve_or_fall_back_to_the_id(spark):
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    assert rows(J.resolve_names(df, "k", spark.createDataFrame([(1, "one")], "id int, name string")), "k", "name") == [(1, "one"), (2, "2")]
+
+
+def test_aliases_begin_at_any_word_or_mark(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "see ((x) and foo.bar"), (2, "foobar xfoo.bar"), (3, "Foo.Bar, then (x)")], "id int, text string")
+    people = spark.createDataFrame([("p", ["foo.bar"], True), ("q", ["(x)"], False)], "id string, aliases array<string>, fold boolean")
+    for most in (100, 0):
+        got = {r.id: [(m["start"], m["id"]) for m in r.matches] for r in X.match_entities(docs, "id", "text", people, most).collect()}
+        assert got == {1: [(5, "q"), (13, "p")], 3: [(0, "p"), (14, "q")]}
+
+
+def test_one_item_of_a_seed(spark):
+    items = records(spark, "items", [{"id": f"i{n}", "status": "draft" if n % 2 else "catalogued", "sensitive": n % 4 == 0} for n in range(40)])
+    picks = {S.one_of(items, seed).first().id for seed in range(60)}
+    assert picks <= {f"i{n}" for n in range(2, 40, 4)} and len(picks) > 6
+    assert S.one_of(items, 3).first().id == S.one_of(items, 3).first().id and S.one_of(items.limit(0), 3).count() == 0
+
+
+def test_drift_of_file_sets(spark):
+    one = spark.createDataFrame([("a", b"1 at 10:00"), ("b", b"x"), ("c", b"\xff\x01")], "path string, content binary")
+    two = spark.createDataFrame([("a", b"1 at 11:30"), ("c", b"\xff\x02"), ("d", b"")], "path string, content binary")
+    from tidewrack.sources.store import drift
+    assert rows(drift(one, two, r"\d\d:\d\d"), "path", "fault") == [("b", "only left"), ("c", "differs"), ("d", "only right")]
+    assert rows(drift(one, one), "path") == []
+
+
+def test_investigation_is_bounded(spark):
+    from tidewrack.operators import lookups as K
+    table = spark.range(20)
+    tools = {"rows": lambda least=0: table.where(F.col("id") >= least)}
+    script = iter([{"tool": "rows", "args": {"least": 18}}, {"tool": "nothing"}, {"note": "hm"}, {"verdict": "yes"}])
+    out = K.investigate(lambda trace: next(script), tools, lambda said: "verdict" in said)
+    assert out["verdict"] == {"verdict": "yes"} and out["trace"][0]["result"] == [{"id": 18}, {"id": 19}] and len(out["trace"]) == 4
+    seen = []
+    with pytest.raises(K.Undecided):
+        K.investigate(lambda trace: seen.append(trace) or {"tool": "rows"}, tools, lambda said: False)
+    assert len(seen) == 9 and sum("result" in t for t in seen[-1]) == 4

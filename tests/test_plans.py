@@ -102,3 +102,34 @@ def test_streams(spark, tmp_path):
     assert rows(state.rotation_deltas(wishes, spark.createDataFrame([("p", 90)], "page string, rotation int")), "page", "delta") == [("p", 90)]
     events = spark.createDataFrame([(1, "2026-01-01 10:00:00"), (1, "2026-01-01 10:10:00"), (1, "2026-01-01 12:00:00")], "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert [r[1] for r in rows(state.sessions(events), "start", "n")] == [2, 1]
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    from tidewrack.streaming.state import LatestState
+    where = f"file://{tmp_path}/s"
+    make = lambda rows: spark.createDataFrame(rows, "k int, v int, t string")
+    LatestState(spark, ["k"], ["v"], where, buckets=4).merge(make([(i, 1, "a") for i in range(50)]), 0)
+    again = LatestState(spark, ["k"], ["v"], where, buckets=4)
+    again.merge(make([(1, 2, "b"), (2, 0, "old")]), 1)
+    again.merge(make([(9, 9, "twice")]), 1)  # a batch that comes twice
+    third = LatestState(spark, ["k"], ["v"], where, buckets=4)
+    got = {r.k: (r.v, r.t) for r in third.read().collect()}
+    assert got == {**{i: (1, "a") for i in range(50)}, 1: (2, "b")}
+    assert LatestState(spark, ["k"], ["v"], f"file://{tmp_path}/none", schema="k int").read().count() == 0
+
+
+def test_refresh_of_a_publication(spark, tmp_path):
+    from tidewrack.plans import publish
+    from tidewrack.sources.demo import demo
+    d = demo(spark)
+    s = publish.Silver(**d)
+    publish.publish(s, str(tmp_path), "p1")
+    story = d["items"].where("id = 'ledger'").withColumn("title", F.lit("New title"))
+    more = d["people"].where("id = 'orla-quill'").unionByName(d["people"].where("id = 'orla-quill'").withColumn("id", F.lit("new-one")))
+    for name in ("p2", "p3"):
+        paths = publish.refresh(spark, str(tmp_path), name, story, d["items"].where("id = 'brass-lamp'").select("id"), people=more)
+        assert set(paths) == {"items", "transcripts", "index", "people"}
+        assert publish.register_views(spark, str(tmp_path)) == name
+        assert {(r.id, r.title) for r in spark.table("items").collect()} == {("ledger", "New title"), ("story-1975-06-21-01", "The wedding on the pier")}
+        assert spark.table("people").count() == 4 and spark.table("places").count() == 2
+    assert publish.current_tables(spark, str(tmp_path))["places"] == "p1"

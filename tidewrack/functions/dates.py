@@ -25,18 +25,25 @@ def _lookup(names: tuple[str, ...], index: Column) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), index)
 
 
+def _part(date, shape: str, start: int, size: int) -> Column:
+    """A number in the string, where the string begins in this shape (0 for a digit)."""
+    d = _col(date)
+    digits = F.translate(F.substring(d, 1, len(shape)), "123456789", "000000000")
+    return F.when(digits == shape, F.substring(d, start, size).try_cast("int"))
+
+
 def year_of(date) -> Column:
     """The year, or null where the string has none."""
-    return F.try_to_number(F.regexp_extract(_col(date), r"^(\d{4})", 1), F.lit("9999")).cast("int")
+    return _part(date, "0000", 1, 4)
 
 
 def month_index(date) -> Column:
     """Month from 0, or null."""
-    return F.try_to_number(F.regexp_extract(_col(date), r"^\d{4}-(\d{2})", 1), F.lit("99")).cast("int") - 1
+    return _part(date, "0000-00", 6, 2) - 1
 
 
 def day_of(date) -> Column:
-    return F.try_to_number(F.regexp_extract(_col(date), r"^\d{4}-\d{2}-(\d{2})", 1), F.lit("99")).cast("int")
+    return _part(date, "0000-00-00", 9, 2)
 
 
 def is_leap_year(year) -> Column:
@@ -62,16 +69,21 @@ def age_in_years(birth, birth_precision, death, death_precision) -> Column:
     """struct<exact, from, to>: the age in whole years where both days are exact, else the
     range of one year; null where a date is missing or open."""
     b, bp, d, dp = map(_col, (birth, birth_precision, death, death_precision))
-    by, dy = year_of(b), year_of(d)
-    bm, bd, dm, dd = month_index(b), day_of(b), month_index(d), day_of(d)
-    years = dy - by
-    exact = (bp == "exact") & (dp == "exact") & bd.isNotNull() & dd.isNotNull()
-    had = (dm > bm) | ((dm == bm) & (dd >= bd))
-    age = years - F.when(had, F.lit(0)).otherwise(F.lit(1))
-    known = bp.isin(*POINT_PRECISIONS) & dp.isin(*POINT_PRECISIONS) & years.isNotNull()
-    one = F.when(exact, F.struct(age.alias("exact"), age.alias("from"), age.alias("to"))).otherwise(
-        F.struct(F.lit(None).cast("int").alias("exact"), (years - 1).alias("from"), years.alias("to")))
-    return F.when(known, one)
+
+    def part(x: Column, of: Column) -> Column:
+        return F.struct(year_of(x).alias("y"), (month_index(x) * 100 + day_of(x)).alias("md"), of.alias("p"))
+
+    def age(t: Column) -> Column:
+        b, d = t["b"], t["d"]
+        years = d["y"] - b["y"]
+        exact = (b["p"] == "exact") & (d["p"] == "exact") & b["md"].isNotNull() & d["md"].isNotNull()
+        whole = years - F.when(d["md"] >= b["md"], F.lit(0)).otherwise(F.lit(1))
+        known = b["p"].isin(*POINT_PRECISIONS) & d["p"].isin(*POINT_PRECISIONS) & years.isNotNull()
+        one = F.when(exact, F.struct(whole.alias("exact"), whole.alias("from"), whole.alias("to"))).otherwise(
+            F.struct(F.lit(None).cast("int").alias("exact"), (years - 1).alias("from"), years.alias("to")))
+        return F.when(known, one)
+    # each string is taken apart once: the parts are an element that the age is read from
+    return F.get(F.transform(F.array(F.struct(part(b, bp).alias("b"), part(d, dp).alias("d"))), age), 0)
 
 
 def age_label(age: Column) -> Column:

@@ -15,7 +15,8 @@ from tidewrack.operators.sequence import greedy_spans
 QUOTE_CAP = 300
 MATCH_THRESHOLD = 0.34
 #: Fixed list: words for relatives, which name nobody.
-KIN_TERMS = ("mum", "mom", "mummy", "mother", "dad", "daddy", "father", "gran", "granny", "grandma", "grandmother", "grandpa", "grandad", "grandfather", "nan", "nana", "aunt", "auntie", "uncle", "brother", "sister", "son", "daughter", "husband", "wife")
+KIN_TERMS = ("dad", "daddy", "father", "mum", "mummy", "mom", "mother", "mam", "grandma", "granny", "gran", "nana", "nanny", "grandad", "granddad", "grandpa", "grandfather", "grandmother",
+             "aunt", "aunty", "auntie", "uncle", "sister", "brother", "cousin")
 #: Fixed patterns of links that a text attests, with the kind of link.
 ATTESTED = (
     (r"married ([A-Z][\w' -]+?)(?:,|\.|\(|\b\d|$)", "spouse"), (r"([A-Z][\w' -]+?)'s husband", "spouse"), (r"([A-Z][\w' -]+?)'s wife", "spouse"),
@@ -47,28 +48,47 @@ def literal_spans(text: Column, alias: Column, fold: Column) -> Column:
 
 def match_entities(docs: DataFrame, key: str, text: str, entities: DataFrame, most_aliases: int = 100_000) -> DataFrame:
     """(key, matches): mentions of entities (id, aliases, fold) in each text, longest at each
-    place, left to right, none overlapping. ``fold`` compares without case. The alias table
-    goes to every task while it has at most ``most_aliases`` rows; beyond it the texts are
-    joined to aliases by their lower-cased first word."""
-    aliases = entities.select("id", F.explode(F.array_distinct("aliases")).alias("alias"), "fold").where("alias is not null and alias <> ''")
+    place, left to right, none overlapping. ``fold`` compares without case. Texts meet
+    aliases by the lower-cased first word of the alias; the alias table goes to every task
+    while it has at most ``most_aliases`` rows, and beyond it only words travel, not texts."""
+    token = r"([a-z0-9_]+|[^a-z0-9_\s])"
+    aliases = entities.select(F.col("id").alias("_entity"), F.explode(F.array_distinct("aliases")).alias("alias"), "fold").where("alias is not null and alias <> ''")
+    aliases = aliases.withColumn("_head", F.regexp_extract(F.lower("alias"), token, 1))
     own = docs.select(key, F.col(text).alias("_text"))
+    heads = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(token), F.lit(1)))).alias("_head")
     if aliases.count() <= most_aliases:
-        hits = own.join(F.broadcast(aliases), F.contains(F.lower("_text"), F.lower("alias")))
+        hits = own.select("*", heads).join(F.broadcast(aliases), "_head")
     else:
-        head = lambda c: F.regexp_extract(F.lower(c), r"([a-z0-9_]+|[^a-z0-9_\s]+)", 1)
-        tokens = own.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"([a-z0-9_]+|[^a-z0-9_\s]+)"), F.lit(1)))).alias("_head"))
-        hits = tokens.join(aliases.withColumn("_head", head("alias")), "_head").where(F.contains(F.lower("_text"), F.lower("alias")))
-    spans = hits.select(key, "id", F.explode(literal_spans(F.col("_text"), F.col("alias"), F.col("fold"))).alias("s"))
-    grouped = spans.select(key, F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), "id", F.col("s.text").alias("text")).alias("m")).groupBy(key).agg(F.collect_set("m").alias("m"))
+        row = F.xxhash64(key, "_text").alias("_row")
+        hits = own.select(row, heads).join(aliases, "_head").drop("_head").distinct().join(own.select("*", row).distinct(), "_row")
+    hits = hits.where(F.contains(F.lower("_text"), F.lower("alias")))
+    spans = hits.select(key, "_entity", F.explode(literal_spans(F.col("_text"), F.col("alias"), F.col("fold"))).alias("s"))
+    grouped = spans.select(key, F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("_entity").alias("id"), F.col("s.text").alias("text")).alias("m")).groupBy(key).agg(F.collect_set("m").alias("m"))
     return grouped.select(key, greedy_spans(F.col("m")).alias("matches"))
 
 
+class _Memo(dict):
+    """A translation table that asks about each character once."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.of(chr(code))
+        return out
+
+
+_MARKLESS = _Memo(lambda c: "" if unicodedata.category(c) == "Mn" else c)
+_SPACED = _Memo(lambda c: "" if c in "'’ʼ`" else c if c.isalnum() or c == "_" else " ")
+
+
 def _comparison_form(text: str | None) -> str:
     if text is None:
         return ""
-    folded = "".join(c for c in unicodedata.normalize("NFD", text).casefold() if unicodedata.category(c) != "Mn")
-    spaced = "".join("" if c in "'’ʼ`" else c if c.isalnum() or c == "_" else " " for c in unicodedata.normalize("NFC", folded))
-    return " ".join(spaced.split())
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold().translate(_MARKLESS))
+    return " ".join(text.casefold().translate(_SPACED).split())
 
 
 @F.pandas_udf(T.StringType())
@@ -146,6 +166,16 @@ def table_markers(table: DataFrame, common: tuple[str, ...] = (), generic: tuple
     return table.select(F.explode(every).alias("marker")).where("marker is not null and marker <> ''").distinct()
 
 
+def date_markers(people: DataFrame) -> DataFrame:
+    """(marker): attested dates of birth and death; a bare year identifies nobody."""
+    return people.select(F.explode(F.array("dob.date", "dod.date")).alias("marker")).where(F.length("marker") > 6).distinct()
+
+
+def geo_markers(places: DataFrame) -> DataFrame:
+    """(marker): coordinates of four decimals or more; coarser ones collide with other numbers."""
+    return places.select(F.explode(F.array(F.col("lat").cast("string"), F.col("lng").cast("string"))).alias("marker")).where(F.rlike("marker", F.lit(r"\.\d{4,}$"))).distinct()
+
+
 def offenders(texts: DataFrame, key: str, text: str, markers: DataFrame) -> DataFrame:
     """(key, marker) of markers that a text holds: addresses without case, others as they are
     and at word boundaries. Markers meet texts on a token of theirs, not all against all."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewrack.functions.dates import age_label
 from tidewrack.operators.links import marriages
 from tidewrack.schemas import FAMILY_KINDS, POINT_PRECISIONS
+from tidewrack.shared import checkpoints
 
 
 def family_edges(edges: DataFrame, people: DataFrame) -> DataFrame:
@@ -31,18 +32,17 @@ def hops(edges: DataFrame, sources: DataFrame, most: int | None = None, parents:
     of each level is cut from its lineage by a checkpoint. It ends when no node is new. Of
     several neighbours the smallest is taken.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewrack-"))
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     start = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("parent"))
-    seen = frontier = start.checkpoint()
+    seen = frontier = before = start.checkpoint()
     level = 0
     while most is None or level < most:
         level += 1
         new = frontier.select("source", F.col("node").alias("a")).join(both, "a").groupBy("source", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-        frontier = new.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("hops"), "parent").checkpoint()
+        # over undirected edges a neighbour lies on the level before, on this one or on the next
+        known = frontier.select("source", "node").unionByName(before.select("source", "node"))
+        before, frontier = frontier, new.join(known, ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("hops"), "parent").checkpoint()
         if not frontier.head(1):
             break
         seen = seen.unionByName(frontier)

@@ -50,26 +50,44 @@ def back_links(items: DataFrame, target) -> DataFrame:
                        & ~flag("clarification") & ~flag("evidence"))
 
 
+def _nearest(df: DataFrame, group: str | None, number: str, order: list[str], limit: int, reach: int | None) -> DataFrame:
+    """(group, number, near, ...) for every value of ``group`` and ``number``: the ``limit`` + 1 rows of the group whose
+    number is nearest, at most ``reach`` away, then by ``order``. Of the rows with equal group and number
+    only the first ``limit`` + 1 can be among them, and only those of the ``limit`` + 1 next
+    numbers to either side, so all of this is linear."""
+    most = limit + 1
+    g = F.lit(0) if group is None else F.col(group)
+    rows = df.where(g.isNotNull() & F.col(number).isNotNull()).select(g.alias("_g"), F.col(number).alias("_v"), F.struct(*order).alias("_o"))
+    heads = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_v").orderBy("_o"))).where(F.col("_r") <= most)
+    runs = heads.groupBy("_g", "_v").agg(F.array_sort(F.collect_list("_o")).alias("_heads"))
+    runs = runs.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_v")))
+    to = runs.select("_g", F.col("_v").alias("_to"), F.explode(F.sequence(F.col("_i") - most, F.col("_i") + most)).alias("_i"))
+    met = to.join(runs, ["_g", "_i"]).withColumn("_d", F.abs(F.col("_to") - F.col("_v")))
+    if reach is not None:
+        met = met.where(F.col("_d") <= reach)
+    each = met.select("_g", "_to", "_d", F.explode("_heads").alias("_o"))
+    kept = each.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_to").orderBy("_d", "_o"))).where(F.col("_r") <= most)
+    return kept.select("_g", F.col("_to").alias("_v"), "_d", "_o")
+
+
 def nearby(df: DataFrame, key: str, shared: list[str], number: str, reach: int, order: list[str], limit: int, of: Column | None = None) -> DataFrame:
     """For each row of ``of`` the ``limit`` rows that share a value of one of the columns
     ``shared`` or differ by at most ``reach`` in ``number``: (key, near, distance, rank), nearest
-    first, then by ``order``. Each condition is an equi-join - the range one on the numbers it
-    allows - and candidates are ranked per row."""
+    first, then by ``order``. Rows never meet all others of a value: each condition has its
+    few nearest for every value and number, and a row takes the best of them. A row
+    without a number has no distance and takes no part."""
     rows = df if of is None else df.where(of)
-    keep = list(dict.fromkeys([key, *shared, number, *order]))
-    left = rows.select(*[F.col(c).alias(f"l_{c}") for c in keep])
-    right = df.select(*[F.col(c).alias(f"r_{c}") for c in keep])
+    keys = list(dict.fromkeys([*order, key]))
     found = None
-    for c in shared:
-        one = left.join(right, F.col(f"l_{c}") == F.col(f"r_{c}"))
+    for c, most in [*((c, None) for c in shared), (None, reach)]:
+        near = _nearest(df, c, number, keys, limit, most)
+        g = F.lit(0) if c is None else F.col(c)
+        one = rows.select(F.col(key).alias("_k"), g.alias("_g"), F.col(number).alias("_v")).join(near, ["_g", "_v"]).select("_k", "_d", "_o")
         found = one if found is None else found.unionByName(one)
-    wide = left.withColumn("_n", F.explode(F.sequence(F.col(f"l_{number}") - reach, F.col(f"l_{number}") + reach))).join(right, F.col("_n") == F.col(f"r_{number}")).drop("_n")
-    found = wide if found is None else found.unionByName(wide)
-    pairs = found.where(F.col(f"l_{key}") != F.col(f"r_{key}")).dropDuplicates([f"l_{key}", f"r_{key}"])
-    distance = F.abs(F.col(f"l_{number}") - F.col(f"r_{number}"))
-    w = Window.partitionBy(f"l_{key}").orderBy(distance, *[F.col(f"r_{c}") for c in order], F.col(f"r_{key}"))
-    ranked = pairs.withColumns({"distance": distance, "rank": F.row_number().over(w)}).where(F.col("rank") <= limit)
-    return ranked.select(F.col(f"l_{key}").alias(key), F.col(f"r_{key}").alias("near"), "distance", "rank")
+    pairs = found.where(F.col("_k") != F.col(f"_o.{key}")).distinct()
+    w = Window.partitionBy("_k").orderBy("_d", "_o")
+    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return ranked.select(F.col("_k").alias(key), F.col(f"_o.{key}").alias("near"), F.col("_d").alias("distance"), "rank")
 
 
 def unlinked(df: DataFrame, key: str, links: DataFrame, link_key: str) -> DataFrame:
@@ -151,7 +169,7 @@ def first_document(items: DataFrame, people: DataFrame) -> DataFrame:
 
 def theme_title(items: DataFrame, themes: DataFrame) -> DataFrame:
     """Items with the title of their first theme."""
-    first = items.withColumn("theme", F.try_element_at("themes", F.lit(1))["id"])
+    first = items.withColumn("theme", F.get("themes", 0)["id"])
     return first.join(themes.select(F.col("id").alias("theme"), F.col("title").alias("theme_title")), "theme", "left")
 
 

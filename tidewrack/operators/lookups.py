@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,44 @@ def search_items(items: DataFrame, query: str, limit: int = ITEMS, order: str =
     return hits.select("id", "title", (F.coalesce("transcription_status", F.lit("")) == "draft").alias("draft"), relevant_sentences(_said(), [q]).alias("quotes"))
 
 
+class Undecided(ValueError):
+    """An investigation that came to no verdict."""
+
+
+#: Lookups that an investigation may make, and turns it may take in all.
+MOST_LOOKUPS, MOST_TURNS = 4, 9
+
+
+def investigate(ask: Callable[[list[dict]], dict], tools: dict[str, Callable[..., DataFrame]], complete: Callable[[dict], bool], most: int = MOST_LOOKUPS, turns: int = MOST_TURNS, rows: int = ITEMS) -> dict:
+    """Let a model look things up until it gives a verdict: {'verdict', 'trace'}.
+
+    ``ask`` sees the turns so far and answers {'tool', 'args'} or a verdict that ``complete`` accepts. A tool
+    is a read-only lookup, of whose table at most ``rows`` rows are shown. After ``most`` lookups a further
+    one is refused and said so, an incomplete verdict is sent back, and everything said is in the
+    trace. Raises Undecided after ``turns``."""
+    trace: list[dict] = []
+    used = 0
+    for _ in range(turns):
+        said = ask(list(trace))
+        name = str(said.get("tool") or "").strip()
+        turn = {"said": said}
+        if name and used >= most:
+            turn["reply"] = "no more lookups: conclude"
+        elif name:
+            used += 1
+            args = said.get("args")
+            if name not in tools:
+                turn["reply"] = f"unknown tool {name}"
+            else:
+                turn["result"] = [r.asDict(recursive=True) for r in tools[name](**(args if isinstance(args, dict) else {})).limit(rows).collect()]
+        elif complete(said):
+            return {"verdict": said, "trace": [*trace, turn]}
+        else:
+            turn["reply"] = "neither a lookup nor a complete verdict"
+        trace.append(turn)
+    raise Undecided(f"no verdict in {turns} turns")
+
+
 def history(messages: DataFrame, group: list[str], order: str) -> DataFrame:
     """(group, text): a session's messages as role-prefixed lines, reasoning before what was said."""
     line = F.concat_ws("\n", F.when(F.coalesce("thinking", F.lit("")) != "", F.concat(F.col("role"), F.lit(" (thinking): "), F.col("thinking"))), F.concat_ws(": ", "role", "text"))

@@ -89,28 +89,42 @@ def duplicate_content(df: DataFrame, content: str, key: str) -> DataFrame:
         F.count(F.lit(1)).alias("copies"), F.min(key).alias("first")).where("copies > 1")
 
 
-def pile_overlap(parts: DataFrame, key: str, part: str, few: int = 50) -> DataFrame:
-    """Pairs of piles that share at least half of their distinct parts, both ways:
-    (a, b, shared), a < b. A moved or rescanned pile shows so. Parts held by at most ``few``
-    piles join directly; piles that share only common parts are found through equal
-    fingerprints, so no common part is expanded into all its pairs."""
-    own = parts.select(key, part).distinct()
-    sizes = own.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    holders = own.groupBy(part).agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    rare = own.join(holders.where(F.col("held") <= few), part)
-    x, y = rare.select(part, F.col(key).alias("a")), rare.select(part, F.col(key).alias("b"))
-    candidates = x.join(y, part).where("a < b").select("a", "b").distinct()
-    left = candidates.join(own.select(F.col(key).alias("a"), part), "a").join(own.select(F.col(key).alias("b"), F.col(part).alias("p2")), "b")
-    shared = left.where(F.col(part) == F.col("p2")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(sizes.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b").where(
-        (2 * F.col("shared") >= F.greatest(F.lit(2), F.col("na"))) & (2 * F.col("shared") >= F.greatest(F.lit(2), F.col("nb")))).select("a", "b", "shared")
+def pile_overlap(parts: DataFrame, key: str, part: str) -> DataFrame:
+    """Pairs of piles that share at least half of their distinct parts, rounded down but one at
+    least, both ways: (a, b, shared), a < b. A moved or rescanned pile shows so.
+
+    Piles of the same parts are one class until the end. Two classes that share enough share
+    a part among the first of each - all but the half that may be missing - in one order of all
+    parts, rare ones first; such classes meet by an equi-join on those parts and are counted
+    over their whole sets. Only the answer itself expands classes into their piles."""
+    own = parts.select(F.col(key).alias("pile"), F.col(part).alias("part")).where("part is not null").distinct()
+    piles = own.groupBy("pile").agg(F.array_sort(F.collect_list("part")).alias("set"))
+    piles = piles.withColumn("cls", F.sha2(F.to_json(F.struct("set")), 256))
+    classes = piles.groupBy("cls").agg(F.first("set").alias("set")).withColumns({"n": F.size("set"), "least": F.greatest(F.lit(1), F.floor(F.size("set") / 2)).cast("int")})
+    flat = classes.select("cls", "n", "least", F.explode("set").alias("part"))
+    held = flat.groupBy("part").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("held", "part"))
+    lead = flat.join(held.where("held > 1"), "part", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("rank", rank)
+    lead = lead.where((F.col("rank") <= F.col("n") - F.col("least") + 1) & (F.col("held") > 1)).select("cls", "n", "least", "part")
+    x, y = lead.alias("x"), lead.alias("y")
+    may = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.n") >= F.col("y.least")) & (F.col("y.n") >= F.col("x.least"))
+    pairs = x.join(y, (F.col("x.part") == F.col("y.part")) & may).select(F.col("x.cls").alias("ca"), F.col("y.cls").alias("cb")).distinct()
+    sets = classes.select("cls", "set", "least")
+    met = pairs.join(sets.select(F.col("cls").alias("ca"), F.col("set").alias("sa"), F.col("least").alias("la")), "ca").join(
+        sets.select(F.col("cls").alias("cb"), F.col("set").alias("sb"), F.col("least").alias("lb")), "cb")
+    met = met.select("ca", "cb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), "la", "lb").where("shared >= la and shared >= lb").select("ca", "cb", "shared")
+    alike = classes.select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.col("n").cast("long").alias("shared"))
+    names = piles.select("cls", "pile")
+    out = met.unionByName(alike).join(names.select(F.col("cls").alias("ca"), F.col("pile").alias("pa")), "ca").join(names.select(F.col("cls").alias("cb"), F.col("pile").alias("pb")), "cb")
+    out = out.where((F.col("ca") != F.col("cb")) | (F.col("pa") < F.col("pb")))
+    return out.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "shared")
 
 
 def register(registry: DataFrame, arriving: DataFrame) -> DataFrame:
     """Outcome of arriving batches (batch_id, fingerprint) against a registry of the same
-    shape: already-registered (same id and pages), content-changed (same id, other pages),
-    re-associated (another id whose pages overlap best, at least half of either), or new."""
+    shape: already-registered (same id and pages), content-changed (same id, other pages, or the
+    same folder and any common page, where both have a column path), re-associated (another id
+    whose pages overlap best, at least half of either), or new."""
     same = registry.select("batch_id", F.col("fingerprint").alias("known"))
     first = arriving.join(same, "batch_id", "left")
     pages = registry.select(F.col("batch_id").alias("other"), F.explode("fingerprint").alias("page"), F.size("fingerprint").alias("other_n"))
@@ -119,6 +133,13 @@ def register(registry: DataFrame, arriving: DataFrame) -> DataFrame:
     least = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) / 2))
     best = moved.where((F.col("shared") >= least("n")) & (F.col("shared") >= least("other_n"))).groupBy("batch_id").agg(
         F.min_by("other", F.struct((-F.col("shared")).alias("s"), "other")).alias("moved_from"))
-    outcome = F.when(F.col("known").isNotNull(), F.when(F.col("known") == F.col("fingerprint"), "already-registered").otherwise("content-changed")).when(
+    if "path" in registry.columns and "path" in arriving.columns:  # a pile that stayed where it was is the same with a single page left
+        home = arriving.join(same, "batch_id", "left_anti").select("batch_id", "path", F.explode("fingerprint").alias("page")).join(
+            registry.select(F.col("batch_id").alias("other"), "path", F.explode("fingerprint").alias("page")), ["path", "page"])
+        home = home.groupBy("batch_id", "other").agg(F.countDistinct("page").alias("shared")).groupBy("batch_id").agg(F.min_by("other", F.struct((-F.col("shared")).alias("s"), "other")).alias("stayed"))
+    else:
+        home = best.select("batch_id", F.lit(None).cast("string").alias("stayed")).where("false")
+    best = best.join(home, "batch_id", "full")
+    outcome = F.when(F.col("stayed").isNotNull(), "content-changed").when(F.col("known").isNotNull(), F.when(F.col("known") == F.col("fingerprint"), "already-registered").otherwise("content-changed")).when(
         F.col("moved_from").isNotNull(), "re-associated").otherwise("new")
-    return first.join(best, "batch_id", "left").select("batch_id", "fingerprint", "moved_from", outcome.alias("outcome"))
+    return first.join(best, "batch_id", "left").select("batch_id", "fingerprint", F.coalesce("stayed", "moved_from").alias("moved_from"), outcome.alias("outcome"))

@@ -32,6 +32,13 @@ def discoverable(items: DataFrame) -> DataFrame:
     return published(items).where(~flag("sensitive"))
 
 
+def one_of(items: DataFrame, seed: int) -> DataFrame:
+    """One discoverable item, each as likely as the others; the same for the same seed."""
+    lot = F.struct(F.xxhash64(F.lit(seed), "id").alias("lot"), "id")
+    shown = discoverable(items)
+    return shown.agg(F.min_by(F.struct(*shown.columns), lot).alias("x")).where("x is not null").select("x.*")
+
+
 def drafts(items: DataFrame, teller: str | None = None) -> DataFrame:
     own = items.where(F.col("status") == "draft")
     return own if teller is None else own.where(F.col("told_by") == teller)

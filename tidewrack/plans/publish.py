@@ -74,22 +74,66 @@ def gold(s: Silver) -> dict[str, DataFrame]:
             "index": catalogued(s.items).select("id", "type", "title", "date", "status").orderBy("date", "id")}
 
 
-def publish(s: Silver, where: str, name: str, versions: DataFrame | None = None) -> dict[str, str]:
-    """Check, write every gold table under a new name, then let the pointer name it: readers
-    see one publication or the next, never half of one."""
-    rules.strict(faults(s, versions))
+def _pointer(spark: SparkSession, where: str) -> int:
+    """Number of the latest complete pointer, 0 where there is none."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/current")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    names = [f.getPath() for f in fs.listStatus(root)]
+    done = [int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=0)
+
+
+def current_tables(spark: SparkSession, where: str) -> dict[str, str]:
+    """Table to the publication that holds it, as the latest pointer says."""
+    n = _pointer(spark, where)
+    return {r.table: r.name for r in spark.read.schema("table string, name string").json(f"{where}/current/{n:09d}").collect()} if n else {}  # a row per table
+
+
+def _write(spark: SparkSession, where: str, name: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Write tables under a new name, then a new pointer to them and to those that did not change.
+    A pointer counts once it is complete, so readers see one publication or the next."""
     paths = {}
-    for table, df in gold(s).items():
+    for table, df in tables.items():
         paths[table] = f"{where}/{name}/{table}"
         df.write.mode("errorifexists").parquet(paths[table])
-    spark = s.items.sparkSession
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{where}/current")
+    held = current_tables(spark, where) | dict.fromkeys(tables, name)
+    spark.createDataFrame(sorted(held.items()), "table string, name string").coalesce(1).write.mode("errorifexists").json(f"{where}/current/{_pointer(spark, where) + 1:09d}")
     return paths
 
 
+def publish(s: Silver, where: str, name: str, versions: DataFrame | None = None) -> dict[str, str]:
+    """Check, write every gold table under a new name, then let the pointer name it."""
+    rules.strict(faults(s, versions))
+    return _write(s.items.sparkSession, where, name, gold(s))
+
+
+def refresh(spark: SparkSession, where: str, name: str, stories: DataFrame | None = None, dropped: DataFrame | None = None,
+            people: DataFrame | None = None, places: DataFrame | None = None) -> dict[str, str]:
+    """Bring the current publication up to date without publishing all: ``stories`` replace or join the
+    items by id, ``dropped`` ids leave, new people and places join. Only the tables that follow from
+    them are written; a refresh that comes twice changes nothing more."""
+    now = {t: spark.read.parquet(f"{where}/{n}/{t}") for t, n in current_tables(spark, where).items()}
+    changed: dict[str, DataFrame] = {}
+    for table, more in (("people", people), ("places", places)):
+        if more is not None:
+            changed[table] = now[table].unionByName(more.join(now[table].select("id"), "id", "left_anti").dropDuplicates(["id"]), allowMissingColumns=True).select(*now[table].columns)
+    if stories is not None or dropped is not None:
+        items = now["items"]
+        for gone in (stories, dropped):
+            if gone is not None:
+                items = items.join(gone.select("id"), "id", "left_anti")
+        if stories is not None:
+            items = items.unionByName(stories, allowMissingColumns=True)
+        made = gold(Silver(items.select(*now["items"].columns), now["people"], now["relationships"], now["places"], now["themes"], now["orgs"]))
+        changed |= {t: made[t] for t in ("items", "transcripts", "index")}
+    return _write(spark, where, name, changed)
+
+
 def register_views(spark: SparkSession, where: str) -> str:
-    """Temp views of the current publication."""
-    name = spark.read.text(f"{where}/current").first()[0]
-    for table in ("items", "people", "relationships", "places", "themes", "orgs", "transcripts", "index"):
+    """Temp views of the current publication; the name that holds its items."""
+    names = current_tables(spark, where)
+    for table, name in names.items():
         spark.read.parquet(f"{where}/{name}/{table}").createOrReplaceTempView(table)
-    return name
+    return names["items"]

@@ -59,6 +59,24 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def contents(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of all files under ``root``, by path relative to it."""
+    base = PurePosixPath(root.split(":", 1)[-1]).as_posix().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.substring_index("path", base, -1).alias("path"), "content")
+
+
+def drift(left: DataFrame, right: DataFrame, stamp: str | None = None) -> DataFrame:
+    """(path, fault) of two file sets (path, content) that should be one: 'only left', 'only right' or
+    'differs'. What the pattern ``stamp`` matches in a text, such as the time it was made, does not count."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        body = F.col("content") if stamp is None else F.coalesce(F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), stamp, "").cast("binary"), F.col("content"))
+        return df.select("path", F.sha2(body, 256).alias(name))
+    both = side(left, "l").join(side(right, "r"), "path", "full")
+    fault = F.when(F.col("r").isNull(), "only left").when(F.col("l").isNull(), "only right").when(F.col("l") != F.col("r"), "differs")
+    return both.select("path", fault.alias("fault")).where("fault is not null")
+
+
 def raw_versions(spark: SparkSession, root: str, name: str = "item") -> DataFrame:
     """(path, record_id, version, payload) of versioned JSON records: <id>/item.json is
     version 1, item-2.json version 2; numbers are compared as numbers."""

@@ -2,43 +2,69 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.operators.versions import latest
-
-
-def _shared(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidewrack-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+from tidewrack.shared import shared_dir
 
 
 class LatestState:
-    """The latest row of each key, kept as a table that is rewritten per batch under a new
-    name; a batch that comes twice changes nothing."""
-
-    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], where: str | None = None):
-        self.spark, self.keys, self.order = spark, keys, order
-        self.where, self.at = where or _shared(spark), -1
-
-    def table(self, batch: int) -> str:
-        return f"{self.where}/state/{batch:09d}"
+    """The latest row of each key, as tables under ``where``: keys are dealt to buckets by hash, a batch
+    writes anew only the buckets it touches, and a manifest says which batch holds each bucket.
+
+    The manifest is written last and counts once it is complete, so a new object on the same folder goes
+    on where the last one stopped, and a batch that comes twice changes nothing."""
+
+    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], where: str | None = None, buckets: int = 64, schema=None):
+        self.spark, self.keys, self.order, self.buckets, self.schema = spark, keys, order, buckets, schema
+        self.where = where or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+        self.at = max(self._folders("manifest"), default=-1)
+        held = [] if self.at < 0 else spark.read.schema("bucket int, batch long").json(f"{self.where}/manifest/{self.at:09d}").collect()  # a row per bucket
+        self.held = {r.bucket: r.batch for r in held}
+
+    def _fs(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.where}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _folders(self, name: str) -> list[int]:
+        """Numbers of the complete tables in a folder."""
+        path, fs = self._fs(name)
+        found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return [int(x) for x in found if x.isdigit() and fs.exists(self._fs(f"{name}/{x}/_SUCCESS")[0])]
+
+    def _read(self, buckets, schema) -> DataFrame | None:
+        paths = [f"{self.where}/state/{self.held[b]:09d}/_bucket={b}" for b in sorted(buckets) if b in self.held]
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*paths) if paths else None
 
     def merge(self, rows: DataFrame, batch: int) -> None:
         """Fold a micro-batch into the state; for ``foreachBatch``."""
         if batch <= self.at:
             return
-        held = latest(rows, self.keys, self.order)
-        if self.at >= 0:
-            held = latest(self.spark.read.schema(rows.schema).parquet(self.table(self.at)).unionByName(held), self.keys, self.order)
-        held.write.mode("overwrite").parquet(self.table(batch))
-        self.at = batch
+        self.schema = rows.schema
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("_bucket")
+        new = latest(rows, self.keys, self.order).persist()
+        touched = [r._bucket for r in new.select(bucket).distinct().collect()]  # at most ``buckets``
+        old = self._read(touched, rows.schema)
+        merged = new if old is None else latest(old.unionByName(new), self.keys, self.order)
+        merged.select("*", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.where}/state/{batch:09d}")
+        new.unpersist()
+        held = self.held | dict.fromkeys(touched, batch)
+        table = self.spark.createDataFrame(sorted(held.items()), "bucket int, batch long").coalesce(1)
+        table.write.mode("overwrite").json(f"{self.where}/manifest/{batch:09d}")
+        self.at, self.held = batch, held
+        for n in self._folders("state"):  # what no bucket is read from any more
+            if n not in held.values() and n < batch:
+                path, fs = self._fs(f"state/{n:09d}")
+                fs.delete(path, True)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.table(self.at))
+        """The state; without any batch an empty table, if the schema is known."""
+        rows = self._read(self.held, self.schema)
+        return self.spark.createDataFrame([], self.schema) if rows is None else rows
 
 
 def current_from_stream(spark: SparkSession, path: str, keys: list[str], order: list[str], deleted: Column, files_per_batch: int = 1) -> DataFrame:
@@ -49,7 +75,7 @@ def current_from_stream(spark: SparkSession, path: str, keys: list[str], order:
     folder, name = (path.rsplit("/", 1)[0], path.rsplit("/", 1)[1])
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     log = source.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else source.parquet(path)
-    state = LatestState(spark, keys, order)
+    state = LatestState(spark, keys, order, schema=schema)
     run = log.writeStream.foreachBatch(state.merge).option("checkpointLocation", f"{state.where}/offsets").trigger(availableNow=True).start()
     run.awaitTermination()
     return state.read().where(~F.coalesce(deleted, F.lit(False)))
