@@ -67,7 +67,7 @@ def _vectors(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.
         yield rows, flat[start[rows][:, None] + np.arange(d)]
 
 
-def _cells(cosine: float, blocks: int, grid: int, seed: int, deal: dict | None):
+def _cells(cosine: float, blocks: int, grid: int, seed: int, kind: str, deal: dict | None):
     """Rows (task key, side, rep, n, v). Without ``deal`` only counts per cell and side."""
     near = [o for o in product((-1, 0, 1), repeat=grid) if o > (0,) * grid]
 
@@ -127,21 +127,21 @@ def _cells(cosine: float, blocks: int, grid: int, seed: int, deal: dict | None):
                     r = row[a:a + 20_000]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(key[a:a + 20_000], pa.string()), pa.array(side[a:a + 20_000], pa.int32()), pa.array(rep[rows[r]], pa.int64()),
-                        pa.array(count[rows[r]], pa.int64()), pa.array([x.tobytes() for x in raw[r].astype("<f4")], pa.binary())], ["key", "side", "rep", "n", "v"])
+                        pa.array(count[rows[r]], pa.int64()), pa.array([x.tobytes() for x in raw[r].astype(kind)], pa.binary())], ["key", "side", "rep", "n", "v"])
     return run
 
 
-def _links(cosine: float, blocks: int, seed: int):
+def _links(cosine: float, blocks: int, seed: int, kind: str):
     def run(key, table):
-        name, kind = key[0].as_py().split("|")
+        name, meeting = key[0].as_py().split("|")
         d, b = map(int, name.split(":")[:2])
         side = table.column("side").to_numpy()
         rep, count = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f4").reshape(-1, d)
+        raw = np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(-1, d)
         e, budget = _edges(d, blocks), _budget(cosine, d, blocks) * (1 + _SLACK)
         y = _turned(raw, seed)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = kind[0] == "h" and not len(right)
+        alone = meeting[0] == "h" and not len(right)
         if alone:
             right = left
         part = y[:, e[b]:e[b + 1]]
@@ -215,19 +215,20 @@ def link(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, grid:
     meant to be unique: vectors that share one share its links. Equal vectors are linked to
     each other. Other columns are ignored. Empty input: no rows.
     """
-    rows = vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), column(vectors, vector_col).cast("array<float>").alias("v"))
+    kind = "<f4" if dict(vectors.select(column(vectors, vector_col).alias("v")).dtypes)["v"] == "array<float>" else "<f8"  # components keep their precision
+    rows = vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), column(vectors, vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
     sound = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall(
         "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumns({
         "k1": F.when(F.col("sound"), F.xxhash64("v")), "k2": F.when(F.col("sound"), F.xxhash64(F.lit(1), "v"))}))
     classes = cut(rows.where("sound").groupBy("k1", "k2", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     reps = classes.select("rep", "n", "v")
-    counts = reps.mapInArrow(_cells(cosine, blocks, grid, seed, None), "key string, side int, n long").groupBy("key", "side").agg(F.sum("n").alias("n"))
+    counts = reps.mapInArrow(_cells(cosine, blocks, grid, seed, kind, None), "key string, side int, n long").groupBy("key", "side").agg(F.sum("n").alias("n"))
     deal: dict = {}
     for r in counts.collect():  # coordinates lie in [-1, 1], so there are at most blocks * (2 / radius + 3) ** grid cells a length
         deal.setdefault(tuple(map(int, r.key.split(":"))), [0, 0])[r.side] = -(-r.n // CHUNK)
-    met = reps.mapInArrow(_cells(cosine, blocks, grid, seed, deal), "key string, side int, rep long, n long, v binary")
-    links = cut(met.groupBy("key").applyInArrow(_links(cosine, blocks, seed), "rep long, links long, root long"))
+    met = reps.mapInArrow(_cells(cosine, blocks, grid, seed, kind, deal), "key string, side int, rep long, n long, v binary")
+    links = cut(met.groupBy("key").applyInArrow(_links(cosine, blocks, seed, kind), "rep long, links long, root long"))
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     known = classes.drop("v").join(degree, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
