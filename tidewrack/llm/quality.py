@@ -117,9 +117,10 @@ class Model:
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
     """Votes are counted over all documents, at most 3 ** 8 patterns; the scorer sees a sample
-    of about ``sample`` distinct documents. Texts without words take no part."""
+    of about ``sample`` distinct texts. Texts without words, null ones too, take no part; without any other
+    the scorer's weights are zero and all scores one half."""
     text = docs.select(column(docs, text_col).alias("t"))
 
     def codes(batches):
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         right = prior * like[1][i][2] + (1 - prior) * like[0][i][0]
         wrong = prior * like[1][i][0] + (1 - prior) * like[0][i][2]
         accuracy[name] = right / (right + wrong)
-    key = F.xxhash64(F.lit(3), column(docs, id_col), column(docs, text_col))
+    key = F.xxhash64(F.lit(3), column(docs, text_col))  # copies are one document
     cutoff = -(2 ** 63) + int(2 ** 64 * min(1.0, sample / max(1, total)))
     chosen = docs.select(key.alias("key"), column(docs, text_col).alias("t")).where(F.col("key") <= min(cutoff, 2 ** 63 - 1)).dropDuplicates(["key"])
 
