@@ -30,9 +30,37 @@ def test_preference_pairs(spark):
 def test_alternatives(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, "user", "r"), (1, 1, "assistant", "a1"), (2, 0, "user", "alone"), (2, 1, "assistant", "a2"), (4, 0, "user", "no answer"), (None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.pair_id: r for r in chat.preference_pairs(chat.with_alternatives(df)).collect()}
+    got = {r.pair_id: r for r in chat.formatted(chat.alternatives(df)).collect()}
     assert sorted(got) == [0, 1, 2, 4] and "a1" in got[0].rejected and "a0" in got[1].rejected and got[0].n_prompt_turns == 1
     assert got[2].rejected == "" and got[4].n_prompt_turns == 1
+    assert chat.formatted(chat.alternatives(df.limit(0))).count() == 0
+
+
+def test_alternatives_of_awkward_conversations(spark):
+    rng = random.Random(8)
+    rows = [(c, rng.choice([None, *range(5)]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None])) for c in range(-6, 40) for _ in range(rng.randrange(0, 7))] + [(None, 0, "user", "x")]
+    rows += rng.sample(rows, 20)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"all": F.lit(1), "chosen": F.lit("c")}).repartition(4)
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn, role or "", text or ""))
+    order = lambda t: (t[0] is not None, t[0] or 0, t[1], t[2])
+    want = {}
+    for c, turns in own.items():
+        last = {k: max(((-1 if t is None else t, r, x) for t, r, x in own.get(k, []) if r == "assistant"), default=None) for k in (c, c ^ 1)}
+        kept = [t for t in sorted(turns, key=order) if last[c] is None or (t[0] < last[c][0] if t[0] is not None else last[c][0] >= 0)]
+        want[c] = (sorted(turns, key=order), kept + ([(last[c][0], *last[c ^ 1][1:])] if last[c] and last[c ^ 1] else []))
+    got = {r.pair_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in chat.alternatives(df).collect()}
+    assert got == want
+
+
+def test_spans_of_very_long_conversations(spark):
+    turns = [(1, side, i, "assistant" if i % 2 else "user", side * (i % 3)) for side in ("chosen", "rejected") for i in range(1500)]
+    r = chat.preference_pairs(spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string")).first()
+    assert r.n_prompt_turns == 1 and len(r.chosen_spans) == 750
+    own = [t for _, s, i, role, t in turns if s == "chosen" and role == "assistant"]
+    assert [r.chosen[s.start:s.end] for s in r.chosen_spans] == [t + "<|im_end|>" for t in own]
 
 
 @pytest.mark.parametrize("shards, copies", [(24, 0), (5, 400), (1, 3)])

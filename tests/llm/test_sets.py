@@ -346,6 +346,15 @@ def test_embeddings(spark):
     assert embedding_join.link(df.limit(0)).count() == 0
 
 
+def test_embeddings_keep_double_precision(spark):
+    a = [1.0, 0.0]
+    near = [0.9 + 1e-9, (1 - (0.9 + 1e-9) ** 2) ** 0.5]  # single precision cannot tell the two apart
+    below = [0.9 - 1e-9, (1 - (0.9 - 1e-9) ** 2) ** 0.5]
+    for v, linked in ((near, True), (below, False)):
+        got = embedding_join.link(spark.createDataFrame([(1, a), (2, v)], "vec_id long, embedding array<double>")).collect()
+        assert {r.n_links for r in got} == {int(linked)}
+
+
 def test_embedding_chunks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.standard_normal(8)

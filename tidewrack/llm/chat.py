@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, located
 
 #: Fixed values of the chat template.
 HEAD, AFTER_ROLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -27,16 +27,11 @@ def _text(turns):
 
 def _spans(turns):
     """Trained spans (start, end) in characters of the rendered turns."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(a, t):
-        start = a["at"] + len(HEAD) + F.length(t["role"]) + len(AFTER_ROLE)
-        end = start + F.length(t["text"]) + len(END.rstrip("\n"))
-        after = a["at"] + F.length(_rendered(t))
-        return F.struct(after.alias("at"), F.when(
-            t["role"] == TRAINED_ROLE, F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(
-            a["out"]).alias("out"))
-    return F.aggregate(turns, zero, step, lambda a: a["out"])
+    def span(t, at):
+        start = at + len(HEAD) + F.length(t["role"]) + len(AFTER_ROLE)
+        return F.struct(start.alias("start"), (start + F.length(t["text"]) + len(END.rstrip("\n"))).alias("end"), (t["role"] == TRAINED_ROLE).alias("trained"))
+    every = located(turns, lambda t: F.length(_rendered(t)), span, "struct<start:int,end:int,trained:boolean>")
+    return F.transform(F.filter(every, lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", side_col: str = "side", turn_col: str = "turn",
@@ -59,6 +54,11 @@ def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", side_col: str
     def side(name: str):
         return F.array_sort(F.collect_list(F.when(F.col("side") == name, F.col("t")))).alias(name)
     pairs = rows.groupBy("pair_id").agg(side("chosen"), side("rejected"))
+    return formatted(pairs)
+
+
+def formatted(pairs: DataFrame) -> DataFrame:
+    """The columns of :func:`preference_pairs` from (pair_id, chosen, rejected): arrays of turns (turn, role, text) in order."""
     same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     shared = F.array_position(same, F.lit(False)) - 1
     shared = F.when(shared < 0, F.size(same).cast("long")).otherwise(shared)
@@ -73,20 +73,32 @@ def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", side_col: str
                         _text(F.col("r")).alias("rejected"), _spans(F.col("r")).alias("rejected_spans"))
 
 
-def with_alternatives(conversations: DataFrame) -> DataFrame:
-    """Turns of preference pairs made from plain conversations (conv_id, turn, role, text):
-    a conversation is the chosen side; the rejected side is the same up to its last
-    assistant turn, then the last assistant turn of its neighbour (conv_id xor 1). A
-    conversation without neighbour, or whose neighbour lacks such a turn, has a rejected
-    side that ends there; one without assistant turn is rejected as it is."""
-    c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    c = c.where("conv_id is not null")
-    last = c.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), "role", "text")).alias("last"))
-    own = c.join(last.select("conv_id", F.col("last.turn").alias("upto")), "conv_id", "left")
-    chosen = c.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    kept = own.where("upto is null or turn < upto or turn is null and upto >= 0").select(
-        F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last").alias("other"))
-    swapped = last.join(other, "conv_id").select(
-        F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("last.turn").alias("turn"), "other.role", "other.text")
-    return chosen.unionByName(kept).unionByName(swapped)
+def alternatives(conversations: DataFrame) -> DataFrame:
+    """(pair_id, chosen, rejected) made from plain conversations (conv_id, turn, role, text): a
+    conversation is the chosen side; the rejected side is the same up to its last assistant turn, then
+    the last assistant turn of its neighbour (conv_id xor 1). A conversation without neighbour, or
+    whose neighbour lacks such a turn, has a rejected side that ends there; one without assistant turn is
+    rejected as it is.
+
+    Neighbours meet in one exchange. Turns stand in order of turn, null first, then role and text; null
+    roles and texts are empty, and a null turn counts as before all others. Equal rows are equal
+    turns; of several last assistant turns with one number the greatest by text is swapped and
+    the others stay in chosen alone. Rows without a conversation id are left out. No rows: no pairs.
+    """
+    def turn_of(x):
+        return F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"))
+
+    def own(id_):
+        return F.transform(F.filter("all", lambda x: x["conv_id"] == id_), turn_of)
+
+    def last(turns: str):
+        said = F.filter(turns, lambda x: x["role"] == TRAINED_ROLE)
+        return F.array_max(F.transform(said, lambda x: F.struct(F.coalesce(x["turn"], F.lit(-1)).alias("turn"), x["role"].alias("role"), x["text"].alias("text"))))
+    c = conversations.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    two = c.groupBy(F.shiftright("conv_id", 1).alias("two")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", "text"))).alias("all"))
+    each = two.select("all", F.explode(F.array_distinct(F.transform("all", lambda x: x["conv_id"]))).alias("pair_id"))
+    sides = each.select("pair_id", own(F.col("pair_id")).alias("chosen"), own(F.col("pair_id").bitwiseXOR(F.lit(1))).alias("other"))
+    ends = sides.select("pair_id", "chosen", last("chosen").alias("last"), last("other").alias("swap"))
+    kept = F.filter("chosen", lambda x: F.col("last").isNull() | F.coalesce(x["turn"] < F.col("last.turn"), F.col("last.turn") >= 0))
+    instead = F.when(F.col("last").isNotNull() & F.col("swap").isNotNull(), F.array(F.struct(F.col("last.turn").alias("turn"), F.col("swap.role").alias("role"), F.col("swap.text").alias("text"))))
+    return ends.select("pair_id", "chosen", F.concat(kept, F.coalesce(instead, F.slice("chosen", F.lit(1), F.lit(0)))).alias("rejected"))

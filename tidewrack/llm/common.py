@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.shared import shared_dir
+
 #: White space of the contracts: space and the ASCII controls 9 to 13.
 WS_CHARS = " \t\n\x0b\f\r"
 WS_REGEX = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary
-    one is set only where the session names none (single-machine tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named
-
-
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it again, so that what follows
     neither recomputes it nor depends on the executors that made it. Spark deletes the
@@ -78,6 +68,29 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Parts of an array that are placed one after the other by a fold, which copies what it has at every step.
+_FOLD = 256
+
+
+def located(parts: Column, size: Callable[[Column], Column], made: Callable[[Column, Column], Column], kind: str) -> Column:
+    """For each part of an array ``made(part, start)``, an array of ``kind``; start is the sum of the sizes before it.
+    Long arrays are taken in slices, so the cost grows little faster than their length."""
+    def of(p: Column) -> Column:
+        def fold(zero: Column, own: Column) -> Column:
+            first = F.struct(zero.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+            return F.aggregate(own, first, lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.array_append(a["out"], made(x, a["at"])).alias("out")), lambda a: a["out"])
+
+        def sliced(c: Column) -> Column:
+            return F.slice(p, c * _FOLD + 1, _FOLD)
+        chunks = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _FOLD).cast("int"))
+        sums = F.transform(chunks, lambda c: F.aggregate(sliced(c), F.lit(0), lambda a, x: a + size(x)))
+
+        def long(s: Column) -> Column:
+            return F.flatten(F.transform(chunks, lambda c: fold(F.aggregate(F.slice(s, F.lit(1), c), F.lit(0), lambda a, x: a + x), sliced(c))))
+        return F.when(F.size(p) <= _FOLD, fold(F.lit(0), p)).otherwise(F.get(F.transform(F.array(sums), long), 0))
+    return F.get(F.transform(F.array(parts), of), 0)
+
+
 #: Rows of an edge table that one task handles, so that a small table is not spread over all shuffle partitions.
 EDGES_PER_TASK = 100_000
 
@@ -85,7 +98,9 @@ EDGES_PER_TASK = 100_000
 def components(edges: DataFrame) -> DataFrame:
     """Label the nodes of ``edges`` (u long, v long) with the smallest node reachable.
 
-    Returns (node, component) for nodes that have an edge to another node. Alternates the
+    Returns (node, component) for nodes that have an edge to another node; nodes with none, edges of a
+    node to itself and edges with a null end give no row, repeated edges count once, and no edges give no
+    rows. Alternates the
     large-star and small-star steps until the edge set stands still; every step is a
     min per node and an equi-join, both of which AQE splits, and the state between rounds
     is a table in the shared folder. No edge goes to the driver: it sees a count and a

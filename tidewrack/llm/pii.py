@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import column, cut, free_name
+from .common import column, cut, free_name, located
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. A match starts where the last one ended or at the start of a run of its
@@ -70,15 +70,12 @@ def _matches(text: Column, pattern: str, hint: str | None) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(a, m):
-        start = a["at"] + F.length(m["b"])
-        end = start + F.length(m["v"])
-        one = F.struct(start.alias("start"), end.alias("end"), m["v"].alias("value"), F.lower(F.right(m["b"], F.lit(CONTEXT))).alias("before"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
+    def span(m, at):
+        start = at + F.length(m["b"])
+        return F.struct(start.alias("start"), (start + F.length(m["v"])).alias("end"), m["v"].alias("value"), F.lower(F.right(m["b"], F.lit(CONTEXT))).alias("before"))
     pairs = F.filter(F.zip_with(between, found, lambda b, v: F.struct(b.alias("b"), v.alias("v"))), lambda m: m["v"].isNotNull())
-    spans = F.aggregate(pairs, zero, step, lambda a: a["out"])
+    spans = located(pairs, lambda m: F.length(m["b"]) + F.length(m["v"]), span, "struct<start:int,end:int,value:string,before:string>")
     there = F.rlike(text, F.lit(pattern))
     if hint:
         there = (F.contains(text, F.lit(hint)) if hint == "@" else F.rlike(text, F.lit(hint))) & there
@@ -120,9 +117,9 @@ def _votes(kind: str, base: bool, m: Column) -> Column:
                    vote(F.rlike(before, F.lit(AGAINST)), -1, 0), shape)
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<kind, start, end, value, base, votes>> of a text, base spans first in
-    each kind; a wider candidate that touches a base span of its kind is dropped."""
+def candidates(text: Column) -> list[tuple[Column, Column]]:
+    """For each kind two arrays of struct<kind, start, end, value, base, votes>: the base spans of a text and
+    the wider candidates, of which the caller drops those that touch a base span. A null text is empty."""
     text = F.coalesce(text, F.lit(""))
     parts = []
     for kind in KINDS:

@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat.preference_pairs(chat.with_alternatives(_read(spark, sf_dir, "conversations")))
+    pairs = chat.formatted(chat.alternatives(_read(spark, sf_dir, "conversations")))
 
     def spans(name: str):
         return F.array_join(F.transform(name, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(name)
