@@ -114,7 +114,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def word_confidence(words: Column, seen: Column) -> Column:
     """1 or 0 per word: whether another reader saw it; struck words never count."""
-    return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("~~")), F.lit(0)).otherwise(F.array_contains(seen, w).cast("int")))
+    def flags(s: Column) -> Column:
+        return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("~~")), F.lit(0)).otherwise(F.array_contains(s, w).cast("int")))
+    return F.get(F.transform(F.array(seen), flags), 0)  # ``seen`` is an element, so that it is computed once, not for every word
 
 
 def apply_self_report(words: Column, doubted: Column) -> Column:
