@@ -1,4 +1,7 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Every stage takes any documents, none included, with further columns and nulls in all of them, and
+hands on what it keeps with all columns; what it does with nulls and repeated rows it says."""
 
 from __future__ import annotations
 
@@ -9,27 +12,32 @@ from tidewrack.llm.common import cut
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on these documents, does not reject."""
+    """Documents that the quality classifier, fitted on these documents, does not reject. Null and
+    blank texts are rejected; equal rows share their fate."""
     return quality.keep(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by the n-gram Jaccard join: five words, similarity 0.8."""
+    """One document of each group linked by the n-gram Jaccard join: five words, similarity 0.8. Null
+    texts link with nothing; of rows with one id one stays, and all rows without an id."""
     return ngram_join.deduplicate(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of ``benchmark``."""
+    """Documents that hold no passage of ``benchmark``. Null and empty texts hold none; rows equal in
+    id and text share their fate."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them."""
+    """Documents as often as the mix draws them. A null source is a source of its own, null texts have
+    no words, and equal rows are drawn each for itself."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their slot in it."""
+    """Documents with their shard and their slot in it. Null texts count as no bytes; equal rows keep
+    together."""
     return sharding.shard(docs)
 
 
