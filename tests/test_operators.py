@@ -275,3 +275,83 @@ def test_investigation_is_bounded(spark):
     with pytest.raises(K.Undecided):
         K.investigate(lambda trace: seen.append(trace) or {"tool": "rows"}, tools, lambda said: False)
     assert len(seen) == 9 and sum("result" in t for t in seen[-1]) == 4
+
+
+def test_demo_archive_breaks_no_rule(spark):
+    from tidewrack.operators import rules as Q2
+    from tidewrack.plans import publish
+    from tidewrack.sources.demo import demo
+    d = demo(spark)
+    assert publish.faults(publish.Silver(**d)).count() == 0
+    for table, checks in (("items", Q2.entry_rules()), ("people", Q2.person_rules(full=True)), ("orgs", Q2.org_rules()), ("themes", Q2.theme_rules())):
+        assert Q2.violations(d[table], "id", checks).count() == 0 and Q2.repeated_ids(d[table]).count() == 0
+
+
+def test_entries_of_records(spark):
+    day = lambda date, p="exact", d2=None: (date, p, d2)
+    items = records(spark, "items", [
+        {"id": "a", "status": "catalogued", "date": "1900", "date_precision": "year", "people": [("x", "confirmed", day("1901"), None)], "assets": [("image", "a.jpg", None)], "date_mentions": [("1900", None)]},
+        {"id": "b", "status": "catalogued", "date": "1900", "date_precision": "year", "people": [(" ", None, None, None)], "places": [("p", "odd", None, None)], "themes": [("t", None, day("1900-13"), None)],
+         "orgs": [("o", None, day("1900", "between"), None)], "assets": [("image", "", None)], "date_mentions": [("1900", "odd")]},
+        {"id": "c", "status": "draft"}, {"id": "d", "status": "deleted", "assets": [("", "", None)]}, {"id": "d", "status": "deleted"}])
+    assert rows(Q.violations(items, "id", Q.entry_rules()), "record_id", "rule") == [
+        ("b", "assets"), ("b", "date-mentions"), ("b", "orgs-entry"), ("b", "people-entry"), ("b", "places-entry"), ("b", "themes-entry"), ("c", "date-required")]
+    assert rows(Q.repeated_ids(items), "record_id", "detail") == [("d", "2")]
+    people = records(spark, "people", [{"id": "ok", "name": "n", "email": " A@b.example ", "residence": [("low-moor", "", "", None)]},
+                                       {"id": "bad", "name": "n", "email": "a@b", "residence": [("Low Moor", "", "", None)], "status": "estimated", "basis": (" ", None, None, None)}])
+    assert rows(Q.violations(people, "id", Q.person_rules(full=True)), "record_id", "rule") == [("bad", "basis-text"), ("bad", "email"), ("bad", "residence")]
+    said, decided = [("user", "hi", "", None)], [("p", "attested", "", None, True)]
+    sessions = records(spark, "sessions", [
+        {"id": "s-1", "title": "t", "attempts": [("now", said, decided), ("now", [], [])]}, {"id": "S", "title": "", "status": "open", "attempts": [("now", [("robot", "", "", None)], [("", "maybe", "", None, False)])]}])
+    assert rows(Q.violations(sessions, "id", Q.session_rules()), "record_id", "rule") == [("S", r) for r in ("decision", "id", "person", "role", "status", "title")]
+    orgs = records(spark, "orgs", [{"id": "o", "name": "n"}, {"id": "O", "name": " ", "status": "odd"}])
+    assert rows(Q.violations(orgs, "id", Q.org_rules()), "record_id", "rule") == [("O", "id"), ("O", "name"), ("O", "status")]
+
+
+def test_claims_against_a_plain_loop(spark):
+    import random
+
+    from tidewrack.functions.text import _comparison_form
+    from tidewrack.operators.alignment import associate_lines
+    rng = random.Random(2)
+    line = lambda: " ".join(rng.choice(["Élan", "sea", "oak,", "the", "pier", "lamp"]) for _ in range(rng.randrange(0, 6)))
+    pages = {p: ([line() for _ in range(rng.randrange(1, 9))], [(line(), float(rng.randrange(5))) for _ in range(rng.randrange(0, 9))]) for p in range(40)}
+    want = []
+    for p, (texts, boxes) in pages.items():
+        free, rest = list(range(len(texts))), []
+        for text, y in sorted(boxes, key=lambda b: (b[1], b[0])):
+            own, best, at = set(_comparison_form(text).split()), 0.0, None
+            for i in free:
+                other = set(_comparison_form(texts[i]).split())
+                score = len(own & other) / len(own | other) if own and other else 0.0
+                if score > best:
+                    best, at = score, i
+            if at is not None and best >= X.MATCH_THRESHOLD:
+                free.remove(at)
+                want.append((p, at, texts[at], text, y, "content"))
+            else:
+                rest.append((text, y))
+        want += [(p, i, texts[i], text, y, "positional") for i, (text, y) in zip(free, rest)]
+    lines = spark.createDataFrame([(p, i, t) for p, (texts, _) in pages.items() for i, t in enumerate(texts)], "page int, index int, text string")
+    boxes = spark.createDataFrame([(p, t, y) for p, (_, b) in pages.items() for t, y in b], "page int, text string, y double")
+    assert rows(associate_lines(lines, boxes, "page"), "page", "index", "text", "rec_text", "y", "box_source") == sorted(want)
+
+
+def test_mentions_against_a_plain_scan(spark):
+    import random
+    import re
+    rng = random.Random(4)
+    people = [("a", ["the of", "the"], True), ("b", ["of the", "of"], True), ("c", ["Is", "is the"], False), ("d", ["(x)", "x"], True)]
+    docs = [(i, " ".join(rng.choice(["the", "Of", "is", "Is", "THE", "(x)", "x", "xx", "of,"]) for _ in range(rng.randrange(0, 12)))) for i in range(80)]
+    want = {}
+    for i, text in docs:
+        spans = {(m.start(), m.end(), id_, m[0]) for id_, names, fold in people for n in names for m in re.finditer(rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])", text, re.I if fold else 0)}
+        kept = []
+        for s in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if not kept or s[0] >= kept[-1][1]:
+                kept.append(s)
+        if kept:
+            want[i] = [(s, e) for s, e, _, _ in kept]
+    found = X.match_entities(spark.createDataFrame(docs, "doc int, text string"), "doc", "text", spark.createDataFrame(people, "id string, aliases array<string>, fold boolean"))
+    assert {r.doc: [(m["start"], m["end"]) for m in r.matches] for r in found.collect()} == want
+

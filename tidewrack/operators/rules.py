@@ -10,6 +10,10 @@ from tidewrack.functions.dates import viable_date, year_of
 from tidewrack.operators.visibility import flag
 
 
+#: An address as a record may carry it.
+EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+
+
 class ArchiveError(ValueError):
     """Raised by :func:`strict` with the first violations."""
 
@@ -43,10 +47,67 @@ def _any(name: str) -> Column:
     return F.coalesce(F.size(name) > 0, F.lit(False))
 
 
-def person_rules() -> dict[str, Column]:
-    return {"id": F.rlike("id", F.lit(S.ID_PATTERN)), "name": _filled("name"), "dob": _dated("dob"), "dod": _dated("dod"),
-            "status": F.coalesce("status", F.lit("confirmed")).isin(*S.RECORD_STATUSES),
-            "basis": (F.coalesce("status", F.lit("")) != "estimated") | F.col("basis").isNotNull()}
+def _said(x: Column) -> Column:
+    """Whether a text says something."""
+    return F.coalesce(F.trim(x), F.lit("")) != ""
+
+
+def _every(name: str, ok) -> Column:
+    """Whether all entries of a list, if there are any, are in order."""
+    return F.col(name).isNull() | F.forall(name, lambda x: F.coalesce(ok(x), F.lit(False)))
+
+
+def _id(x: Column) -> Column:
+    return F.rlike(x, F.lit(S.ID_PATTERN))
+
+
+def _when(d: Column) -> Column:
+    """Whether a dated fact, if there is one, has a date that exists, a known precision and, between two, the second."""
+    return d.isNull() | d["date"].isNull() | (viable_date(d["date"]) & F.coalesce(d["precision"], F.lit("exact")).isin(*S.PRECISIONS) & (
+        (F.coalesce(d["precision"], F.lit("")) != "between") | viable_date(F.coalesce(d["date2"], F.lit("")))))
+
+
+def person_rules(full: bool = False) -> dict[str, Column]:
+    """Rules of a person; ``full`` adds those on e-mail, residence and the words of a basis, for tables that have these columns."""
+    rules = {"id": F.rlike("id", F.lit(S.ID_PATTERN)), "name": _filled("name"), "dob": _dated("dob"), "dod": _dated("dod"),
+             "status": F.coalesce("status", F.lit("confirmed")).isin(*S.RECORD_STATUSES),
+             "basis": (F.coalesce("status", F.lit("")) != "estimated") | F.col("basis").isNotNull()}
+    if full:
+        rules |= {"email": F.col("email").isNull() | F.rlike(F.lower(F.trim("email")), F.lit(EMAIL)), "residence": _every("residence", lambda r: _id(r["place"])),
+                  "basis-text": F.col("basis").isNull() | _said(F.col("basis.text"))}
+    return rules
+
+
+def org_rules() -> dict[str, Column]:
+    return {"id": _id(F.col("id")), "name": _filled("name"), "status": F.coalesce("status", F.lit("confirmed")).isin(*S.RECORD_STATUSES)}
+
+
+def theme_rules() -> dict[str, Column]:
+    return {"id": _filled("id"), "title": _filled("title")}
+
+
+def session_rules() -> dict[str, Column]:
+    """A review session: its id, title and status, who speaks in its messages, and what its decisions say."""
+    return {"id": _id(F.col("id")), "title": _filled("title"), "status": F.coalesce("status", F.lit("pending")).isin(*S.SESSION_STATUSES),
+            "role": _every("attempts", lambda a: F.coalesce(F.forall(a["messages"], lambda m: F.coalesce(m["role"].isin("user", "assistant"), F.lit(False))), F.lit(True))),
+            "decision": _every("attempts", lambda a: F.coalesce(F.forall(a["decisions"], lambda d: F.coalesce(d["decision"].isin(*S.REVIEW_DECISIONS), F.lit(False))), F.lit(True))),
+            "person": _every("attempts", lambda a: F.coalesce(F.forall(a["decisions"], lambda d: _said(d["person_id"])), F.lit(True)))}
+
+
+def entry_rules() -> dict[str, Column]:
+    """What an item's lists hold: references with an id, a status they may have and a date that
+    exists, assets with kind and file, told dates with a known precision. An item needs a date."""
+    gone = F.col("status") == "deleted"
+    refs = {f"{kind}-entry": _every(kind, lambda r: _said(r["id"]) & (r["status"].isNull() | r["status"].isin("proposed", "confirmed")) & _when(r["date"])) for kind in ("people", "places", "orgs", "themes", "items")}
+    rest = {"assets": _every("assets", lambda a: _said(a["kind"]) & _said(a["file"])),
+            "date-mentions": _every("date_mentions", lambda m: _said(m["date"]) & F.coalesce(m["precision"], F.lit("exact")).isin(*S.PRECISIONS)),
+            "date-required": _filled("date") & _filled("date_precision")}
+    return {name: gone | ok for name, ok in (refs | rest).items()}
+
+
+def repeated_ids(df: DataFrame, key: str = "id") -> DataFrame:
+    """Violations of tables in which an id may stand once."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("repeated-id").alias("rule"), F.col(key).cast("string").alias("record_id"), F.col("n").cast("string").alias("detail"))
 
 
 def relationship_rules() -> dict[str, Column]:

@@ -15,6 +15,8 @@ EVENT_KINDS = ("birth", "marriage", "death", "other")
 ITEM_STATUSES = ("draft", "catalogued", "deleted")
 TRANSCRIPTION_STATUSES = ("none", "draft", "confirmed")
 RECORD_STATUSES = ("confirmed", "proposed", "estimated")
+SESSION_STATUSES = ("pending", "reviewed")
+REVIEW_DECISIONS = ("attested", "estimated", "pending", "delete")
 IDENTITY_TABLES = ("people", "relationships", "places", "orgs", "themes")
 ID_PATTERN = r"^[a-z][a-z0-9-]*$"
 

@@ -29,7 +29,7 @@ ITEMS = (
      "themes": _refs("boats"), "orgs": _refs("ferry-line"), "items": _refs("story-1975-06-21-01"), "provenance": "a drawer", "transcription": "Fares and weights.", "transcription_status": "confirmed"},
     {"id": "story-1975-06-21-01", "type": "story", "title": "The wedding on the pier", "date": "1975-06-21", "date_precision": "exact", "status": "catalogued", "told_by": "tam-quill", "people": _refs("ines-vale", "tam-quill"),
      "places": _refs("pier-nine"), "themes": _refs("boats"), "items": _refs("ledger"), "story": "It rained, and the band played under the awning."},
-    {"id": "brass-lamp", "type": "object", "title": "Brass lamp", "status": "draft", "people": _refs("orla-quill")},
+    {"id": "brass-lamp", "type": "object", "title": "Brass lamp", "date": "1930", "date_precision": "approx", "status": "draft", "people": _refs("orla-quill")},
 )
 
 
