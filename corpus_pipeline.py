@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewrack.llm import decontaminate, mixing, ngram_join, quality, sharding
-from tidewrack.llm.common import cut
+from tidewrack.llm.common import cut, drop_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to ``documents``; each stage's result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply STAGES to ``documents``; each stage's result is a table in the shared folder, which goes
+    when the next one has read it."""
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
+        if made is not None:
+            drop_table(made)
+        made = docs
     return docs
 
 
