@@ -171,7 +171,8 @@ def test_passages(spark):
         a, b = words[r.doc_id][r.start:r.end], words[r.partner_id][r.partner_start:r.partner_end]
         assert min(len(a), len(b)) >= 50 and len(set(a) & set(b)) >= 0.7 * len(set(a))
     rows_of = {tuple(r) for r in got if not r.copy}
-    assert rows_of == {(p, ps, pe, d, s, e, n, c) for d, s, e, p, ps, pe, n, c in rows_of}  # each side has its row
+    assert rows_of == {(p, ps, pe, d, s, e, *rest) for d, s, e, p, ps, pe, *rest in rows_of}  # each side has its row
+    assert all(r.verbatim == (r.n_run >= 50) and r.n_run <= r.n_same for r in got) and all(r.verbatim for r in got if 100 <= r.doc_id < 130 or r.copy)
     assert {(r.doc_id, r.partner_id) for r in got if r.copy} == {(300, 3), (301, 3), (3, 300)}
     # every document with the shared passage is found with all of it, to within a word at either end
     for i in range(100, 130):
@@ -258,6 +259,21 @@ def test_alignment_compares_the_words_of_its_seeds():
     assert substring.align([(0, 0, 4), (10, 10, 4), (20, 20, 40)], x, y) == (0, 60, 0, 60, 56)
 
 
+def test_longest_run_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = rng.integers(0, 3, 40).astype(np.uint64), rng.integers(0, 3, 40).astype(np.uint64)
+        a, b = sorted(rng.integers(0, 41, 2).tolist()), sorted(rng.integers(0, 41, 2).tolist())
+        off = int(rng.integers(-9, 10))
+        parts = [(20, 20 + off, 4), (30, 30 + off, 2)]
+        best = here = 0
+        for i in range(a[0], a[1]):
+            j = i + off
+            here = here + 1 if b[0] <= j < b[1] and x[i] == y[j] else 0
+            best = max(best, here)
+        assert substring.longest_run(parts, tuple(a), tuple(b), x, y) == best
+
+
 def test_packed_seeds_give_the_matches_of_their_groups():
     rng = np.random.default_rng(8)
     seed = np.sort(rng.integers(0, 2**63, 40)).astype(np.uint64) * np.uint64(2)
