@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -309,6 +310,17 @@ def test_packed_seeds_give_the_matches_of_their_groups():
     assert len(common) == sum(min(i, texts) for i in many)
 
 
+def test_seeding_holds_few_seeds_at_once():
+    rng = np.random.default_rng(12)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(100 * i, 100 * i + 100)), pa.array([" ".join(map(str, rng.integers(0, 10**6, 1000))) for _ in range(100)])], ["rep", "text"]) for i in range(20)]
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in substring._seeds(3, 50)(iter(batches))) >= 8
+        assert tracemalloc.get_traced_memory()[1] < 110 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_passages_of_frequent_lines(spark):
     rng = random.Random(31)
     lines = [" ".join(f"l{i}_{j}" for j in range(12)) for i in range(8)]
