@@ -3,6 +3,7 @@
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -334,6 +335,47 @@ def test_passages_of_frequent_lines(spark):
     assert got == {p for a, b in pairs for p in ((a, b), (b, a))}
 
 
+def test_passages_that_share_only_seeds_of_a_frequent_line(spark):
+    rng = random.Random(44)
+    line = [f"l{j}" for j in range(10)]
+    rows = [(i, " ".join([text(rng, 60), *line, text(rng, 60)])) for i in range(60)]
+    pairs = [(1000 + 2 * i, 1001 + 2 * i) for i in range(12)]
+    for a, b in pairs:
+        w = line + [f"p{a}_{j}" for j in range(40)]
+        v = line + [f"c{a}_{j}" if j % 4 == 3 else x for j, x in enumerate(w[10:])]  # no 4 equal words in a row after the line
+        rows += [(a, " ".join([text(rng, 60), *w, text(rng, 60)])), (b, " ".join([text(rng, 60), *v, text(rng, 60)]))]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), complete=True).collect()
+    assert {(r.partner_id, r.doc_id) for r in got} == {p for a, b in pairs for p in ((a, b), (b, a))}
+    assert {(r.doc_id, r.class_id) for r in got} == {(x, a) for a, b in pairs for x in (a, b)}
+
+
+def test_places_of_a_tile_meet_as_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(substring, "BITS", 512)
+    base = rng.integers(0, 30_000, 132)
+    rows = []  # (rep, at, class, words), all of one seed
+    for i in range(300):
+        w = rng.integers(0, 30_000, 132) if i % 3 else np.where(rng.random(132) < 0.1 * (i % 8), rng.integers(0, 30_000, 132), base)
+        w[64:68] = base[64:68]
+        rows.append((int(rng.integers(0, 250)), 64 + 1000 * i, int(rng.integers(0, 200)), w.astype("<u2")))
+    tiles = [i % 2 for i in range(300)]
+    sent = [(7, *sorted((t, k)), t, r, at, c, at - 64, w.tobytes()) for (r, at, c, w), t in zip(rows, tiles) for k in (0, 1)]
+    sent.sort(key=lambda r: r[:3])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sent[a:a + 77])], [f"c{i}" for i in range(9)]) for a in range(0, len(sent), 77)]
+    got = {(r["a"], r["pa"], r["b"], r["pb"]) for b in substring._compared(50, 0.8)(iter(batches)) for r in b.to_pylist()}
+
+    def alike(x, y):
+        two, more = (Counter(zip(w[:-1].tolist(), w[1:].tolist())) for w in (x, y))
+        same = np.cumsum([0, *(x == y)])
+        return sum((two & more).values()) >= 29 and any(same[b] - same[a] >= 0.8 * (b - a) for a in range(83) for b in range(a + 50, 133))
+    due = {(r, at, s, bt) for r, at, c, w in rows for s, bt, d, v in rows if r < s and c != d and alike(w, v)}
+    assert len(due) > 100 and due <= got
+    words = {at: w for _, at, _, w in rows}
+    assert all(alike(words[64 + 1000 * (p // 1000)], words[64 + 1000 * (q // 1000)]) for _, p, _, q in got)
+    class_of = {at // 1000: c for _, at, c, _ in rows}
+    assert all(a < b and class_of[p // 1000] != class_of[q // 1000] for a, p, b, q in got)
+
+
 @pytest.mark.parametrize("swap", [False, True])
 def test_chains_of_a_passage_held_twice(swap):
     at = [(10 + i, 20 + i) for i in range(60)] + [(200 + i, 20 + i) for i in range(60)]
